@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.cutoff import fraction_cutoffs, keep_fraction
+from skyloom.llm.leaks import leaked_items
 from skyloom.llm.topn import top_n
 
 SCORE, CELL = "i_cmodelmag_dered", "__icov__"
@@ -28,4 +29,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(objects, CELL, SCORE, ["coord_ra", "coord_dec", "record_id"], 5).select(CELL, "record_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_cutoffs": p1_cutoffs, "p2_found": p2_found}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(_read(spark, d, "documents"), _read(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_cutoffs": p1_cutoffs, "p2_found": p2_found, "p8_found": p8_found}
