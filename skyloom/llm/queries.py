@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.cutoff import fraction_cutoffs, keep_fraction
 from skyloom.llm.leaks import leaked_items
+from skyloom.llm.stuffing import stuffed_pages
 from skyloom.llm.topn import top_n
 
 SCORE, CELL = "i_cmodelmag_dered", "__icov__"
@@ -33,4 +34,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(_read(spark, d, "documents"), _read(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_cutoffs": p1_cutoffs, "p2_found": p2_found, "p8_found": p8_found}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffed_pages(_read(spark, d, "documents")).select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_cutoffs": p1_cutoffs, "p2_found": p2_found, "p8_found": p8_found, "p9_found": p9_found}
