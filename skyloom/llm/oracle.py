@@ -12,7 +12,54 @@ cut AS (SELECT cum.__icov__, min(s) AS cutoff, min(upto) AS n_kept
         FROM cum JOIN n ON cum.__icov__ = n.__icov__ WHERE upto * 1000 >= keep_permille * n_usable GROUP BY 1)
 """
 
+
+
+def _philox(seed: int, table: str) -> str:
+    """CTEs ending in ``drawn(id, epoch, u)``: ten rounds in 128-bit integers over ``table(id, epoch)``."""
+    key, steps = seed, [f"r0 AS (SELECT id, epoch, CAST(id AS HUGEINT) & 4294967295 AS a, CAST(id AS HUGEINT) >> 32 AS b FROM {table})"]
+    for i in range(10):
+        steps.append(f"r{i + 1} AS (SELECT id, epoch, xor(xor((a * 3528905107) >> 32, b), CAST({key} AS HUGEINT)) AS a, (a * 3528905107) & 4294967295 AS b FROM r{i})")
+        key = (key + 2654435769) % 4294967296
+    return ", ".join(steps) + ", drawn AS (SELECT id, epoch, CAST(a AS BIGINT) AS u FROM r10)"
+
+
+def _sample(table: str, identifier: str, batch: str, columns: str) -> str:
+    return f"""
+WITH ids AS (SELECT {identifier} AS id, CAST(min({batch}) AS INTEGER) AS epoch FROM {table} WHERE {identifier} IS NOT NULL GROUP BY 1),
+{_philox(20250301, "ids")},
+picked AS (SELECT id FROM drawn WHERE u < floor(4294967296.0 * CASE epoch WHEN 1 THEN 0.2 WHEN 2 THEN 0.2 WHEN 3 THEN 0.1 WHEN 4 THEN 0.1 ELSE 0.05 END))
+SELECT {columns} FROM {table} WHERE {identifier} IN (SELECT id FROM picked)"""
+
+
+def _number(name: str) -> str:
+    bare = f"regexp_replace(trim(lower({name})), '\\s*mag$', '')"
+    number = f"""CASE WHEN regexp_matches({bare}, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?$') THEN TRY_CAST({bare} AS DOUBLE)
+        WHEN regexp_matches({bare}, '^[+-]?[0-9]+,[0-9]+$') THEN TRY_CAST(replace({bare}, ',', '.') AS DOUBLE) END"""
+    return f"CASE WHEN {number} > -90 AND {number} < 90 THEN {number} + 0.0 END"
+
+
+def _percentiles(keys: str, name: str) -> str:
+    return f"""
+WITH v AS (SELECT {keys}, {_number(name)} AS x FROM tmpl_catalog),
+s AS (SELECT {keys}, x, row_number() OVER (PARTITION BY {keys} ORDER BY x) AS i, count(*) OVER (PARTITION BY {keys}) AS n FROM v WHERE x IS NOT NULL),
+p AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS probability)
+SELECT {keys}, probability, n, x AS value FROM s, p WHERE i = greatest(1, CAST(ceil(probability * n) AS BIGINT))"""
+
+
+_COMBINED = f"""
+WITH v AS (SELECT field_name, {_number("mag_r")} AS x FROM tmpl_catalog),
+s AS (SELECT field_name, x, row_number() OVER (PARTITION BY field_name ORDER BY x) AS i, count(*) OVER (PARTITION BY field_name) AS n FROM v WHERE x IS NOT NULL),
+p AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS probability)
+SELECT field_name, probability, n, (floor(x / CAST(0.01 AS DOUBLE)) + 0.5) * CAST(0.01 AS DOUBLE) AS value
+FROM s, p WHERE i = greatest(1, CAST(ceil(probability * n) AS BIGINT))"""
+
 SQL = {
+    "p3_sample_objects": _sample("dp1_objects", "objectid", "ingest_batch", "record_id, objectid, coord_ra, coord_dec, ingest_batch"),
+    "p3_sample_sources": _sample("des_sources", "coadd_object_id", "load_batch", "coadd_object_id, ra, dec, load_batch"),
+    "p6_by_field": _percentiles("field_name", "mag_r"),
+    "p6_by_night": _percentiles("night", "mag_r"),
+    "p6_g_by_field_night": _percentiles("field_name, night", "mag_g"),
+    "p6_nights_combined": _COMBINED,
     "p1_found": _CUTS + "SELECT u.__icov__, u.record_id FROM u JOIN cut ON u.__icov__ = cut.__icov__ WHERE u.s <= cut.cutoff",
     "p1_cutoffs": _CUTS
     + """SELECT t.__icov__, t.keep_permille, coalesce(n.n_usable, 0) AS n_usable, cut.cutoff, CAST(coalesce(cut.n_kept, 0) AS BIGINT) AS n_kept

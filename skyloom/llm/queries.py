@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.cutoff import fraction_cutoffs, keep_fraction
 from skyloom.llm.leaks import leaked_items
+from skyloom.llm.packing import pack, packing_report, token_counts
+from skyloom.llm.percentiles import add_up, from_ladder, ladder, magnitude, percentiles
+from skyloom.llm.sample import new_entries, sampled
 from skyloom.llm.stuffing import stuffed_pages
 from skyloom.llm.topn import top_n
+from skyloom.runtime import materialize
 
 SCORE, CELL = "i_cmodelmag_dered", "__icov__"
 
@@ -38,4 +42,77 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages(_read(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_cutoffs": p1_cutoffs, "p2_found": p2_found, "p8_found": p8_found, "p9_found": p9_found}
+SEED = 20_250_301
+#: Share of positions picked, by the batch in which an object or source was first seen.
+RATES, LATER = {1: 0.2, 2: 0.2, 3: 0.1, 4: 0.1}, 0.05
+
+
+def _sample(rows: DataFrame, identifier: str, batch: str) -> DataFrame:
+    """Two deliveries, as they would come: the first batches are registered, later ones only add to the registry."""
+    first = materialize(new_entries(rows.where(F.col(batch) <= 4), identifier, batch, RATES, LATER))
+    more = materialize(new_entries(rows, identifier, batch, RATES, LATER, first))
+    return sampled(rows, identifier, first.unionByName(more), SEED)
+
+
+def p3_sample_objects(spark: SparkSession, d: str) -> DataFrame:
+    objects = _read(spark, d, "dp1_objects").select("record_id", "objectid", "coord_ra", "coord_dec", "ingest_batch")
+    return _sample(objects, "objectid", "ingest_batch")
+
+
+def p3_sample_sources(spark: SparkSession, d: str) -> DataFrame:
+    sources = _read(spark, d, "des_sources").select("coadd_object_id", "ra", "dec", "load_batch")
+    return _sample(sources, "coadd_object_id", "load_batch")
+
+
+PROBABILITIES = (0.05, 0.25, 0.5, 0.75, 0.95)
+ERROR = 0.005
+
+
+def _magnitudes(spark: SparkSession, d: str) -> DataFrame:
+    catalog = _read(spark, d, "tmpl_catalog")
+    return catalog.select("field_name", "night", magnitude(F.col("mag_r")).alias("mag_r"), magnitude(F.col("mag_g")).alias("mag_g"))
+
+
+def p6_by_field(spark: SparkSession, d: str) -> DataFrame:
+    return percentiles(_magnitudes(spark, d), ["field_name"], "mag_r", PROBABILITIES)
+
+
+def p6_by_night(spark: SparkSession, d: str) -> DataFrame:
+    return percentiles(_magnitudes(spark, d), ["night"], "mag_r", PROBABILITIES)
+
+
+def p6_g_by_field_night(spark: SparkSession, d: str) -> DataFrame:
+    return percentiles(_magnitudes(spark, d), ["field_name", "night"], "mag_g", PROBABILITIES)
+
+
+def p6_nights_combined(spark: SparkSession, d: str) -> DataFrame:
+    nights = materialize(ladder(_magnitudes(spark, d), ["field_name", "night"], "mag_r", ERROR))
+    return from_ladder(add_up(nights, ["field_name"]), ["field_name"], PROBABILITIES, ERROR)
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack(token_counts(_read(spark, d, "documents")))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing_report(materialize(p7_containers(spark, d)))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found,
+        p1_cutoffs,
+        p2_found,
+        p3_sample_objects,
+        p3_sample_sources,
+        p6_by_field,
+        p6_by_night,
+        p6_g_by_field_night,
+        p6_nights_combined,
+        p7_containers,
+        p7_report,
+        p8_found,
+        p9_found,
+    )
+}
