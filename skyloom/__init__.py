@@ -1,0 +1,12 @@
+"""Catalogue hierarchies and large-scale data operators on Spark."""
+
+from skyloom.config import Config, config_from_mapping, describe_options, load_config
+
+__all__ = ["Config", "config_from_mapping", "describe_options", "load_config", "run"]
+
+
+def run(spark, config):
+    """See skyloom.plans.pipeline.run."""
+    from skyloom.plans.pipeline import run as run_
+
+    return run_(spark, config)
