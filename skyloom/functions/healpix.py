@@ -1,7 +1,7 @@
 """HEALPix NESTED pixel numbers as native columns (Gorski et al. 2005, ApJ 622, 759).
 
-The numbers are built in stages of temporary columns, so that generated code computes every common part once. The optimiser pushes
-filters on a pixel (those it infers for joins, too) through the stages, repeating them; so no stage uses a costly part often.
+The numbers are built in stages of temporary columns, so that generated code computes every common part once. A filter on a pixel is
+pushed through the stages and repeats them: filter positions before, or pixels after an aggregation or a written table.
 """
 
 from __future__ import annotations
@@ -33,16 +33,17 @@ def _spread(v: Column) -> Column:
 
 
 def with_pixel(df: DataFrame, ra: Column, dec: Column, order: int, name: str) -> DataFrame:
-    """``df`` with column ``name``: the NESTED pixel (long) at ``order`` of the position in degrees, NULL where a coordinate is.
+    """``df`` with column ``name``: the NESTED pixel (long) at ``order`` of the position in degrees.
 
-    RA counts modulo 360. Coordinates must be finite or NULL and dec within -90..90.
+    RA counts modulo 360. Rows with a NULL coordinate are dropped; others must be finite, dec within -90..90. The pixel is known never to be NULL (the
+    stand-in -1 cannot occur), so the null checks that joins and windows add vanish instead of repeating the computation.
     """
     if not 0 <= order <= MAX_ORDER:
         raise ValueError(f"order must lie between 0 and {MAX_ORDER}")
     n = 1 << order
     long = lambda c: F.floor(c).cast("long")
     theta = F.radians(90.0 - dec)
-    d = df.withColumn("_z", F.cos(theta)).withColumn("_sin", F.sin(theta))
+    d = df.where(ra.isNotNull() & dec.isNotNull()).withColumn("_z", F.cos(theta)).withColumn("_sin", F.sin(theta))
     d = d.withColumn("_t", F.pmod(F.radians(F.pmod(ra, F.lit(360.0))) / (math.pi / 2), F.lit(4.0)))
     z, t, up = F.col("_z"), F.col("_t"), F.abs(F.col("_z"))
     # belt: the two diagonals through the point; caps: distances along the two edges from the pole
@@ -62,4 +63,4 @@ def with_pixel(df: DataFrame, ra: Column, dec: Column, order: int, name: str) ->
     d = d.withColumn("_x", F.when(belt, _bits(jm, n)).when(north, most - b).otherwise(a))
     d = d.withColumn("_y", F.when(belt, most - _bits(jp, n)).when(north, most - a).otherwise(b))
     pixel = F.col("_face") * (n * n) + _spread(F.col("_x")) + F.shiftleft(_spread(F.col("_y")), 1)
-    return d.withColumn(name, pixel).drop("_z", "_sin", "_t", "_jp", "_jm", "_q", "_s", "_a", "_b", "_face", "_x", "_y")
+    return d.withColumn(name, F.coalesce(pixel, F.lit(-1).cast("long"))).drop("_z", "_sin", "_t", "_jp", "_jm", "_q", "_s", "_a", "_b", "_face", "_x", "_y")
