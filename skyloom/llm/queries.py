@@ -68,25 +68,26 @@ PROBABILITIES = (0.05, 0.25, 0.5, 0.75, 0.95)
 ERROR = 0.005
 
 
-def _magnitudes(spark: SparkSession, d: str) -> DataFrame:
+def _magnitudes(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Field, night and one magnitude read as a number, once for all passes."""
     catalog = _read(spark, d, "tmpl_catalog")
-    return catalog.select("field_name", "night", magnitude(F.col("mag_r")).alias("mag_r"), magnitude(F.col("mag_g")).alias("mag_g"))
+    return materialize(catalog.select("field_name", "night", magnitude(F.col(name)).alias(name)).where(F.col(name).isNotNull()))
 
 
 def p6_by_field(spark: SparkSession, d: str) -> DataFrame:
-    return percentiles(_magnitudes(spark, d), ["field_name"], "mag_r", PROBABILITIES)
+    return percentiles(_magnitudes(spark, d, "mag_r"), ["field_name"], "mag_r", PROBABILITIES)
 
 
 def p6_by_night(spark: SparkSession, d: str) -> DataFrame:
-    return percentiles(_magnitudes(spark, d), ["night"], "mag_r", PROBABILITIES)
+    return percentiles(_magnitudes(spark, d, "mag_r"), ["night"], "mag_r", PROBABILITIES)
 
 
 def p6_g_by_field_night(spark: SparkSession, d: str) -> DataFrame:
-    return percentiles(_magnitudes(spark, d), ["field_name", "night"], "mag_g", PROBABILITIES)
+    return percentiles(_magnitudes(spark, d, "mag_g"), ["field_name", "night"], "mag_g", PROBABILITIES)
 
 
 def p6_nights_combined(spark: SparkSession, d: str) -> DataFrame:
-    nights = materialize(ladder(_magnitudes(spark, d), ["field_name", "night"], "mag_r", ERROR))
+    nights = materialize(ladder(_magnitudes(spark, d, "mag_r"), ["field_name", "night"], "mag_r", ERROR))
     return from_ladder(add_up(nights, ["field_name"]), ["field_name"], PROBABILITIES, ERROR)
 
 
