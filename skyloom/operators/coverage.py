@@ -21,7 +21,7 @@ from skyloom.runtime import bounded, materialize
 CELL, SCORE, RANK = "__icov__", "__score__", "__rk__"
 #: Up to so many rows a global limit is left to Spark's top-k; beyond it sorts by range and counts.
 SMALL_LIMIT = 100_000
-RANDOM_FACTOR, RANDOM_RANGE = 2_654_435_761, 1 << 32
+RANDOM_FACTOR, SEED_FACTOR, RANDOM_RANGE = 2_654_435_761, 2_246_822_519, 1 << 32
 
 
 def best_first(ties: Sequence[str], descending: bool, score: str = SCORE) -> list[Column]:
@@ -134,7 +134,7 @@ def whole_k(k: float) -> int:
 
 def draw(key: Column, seed: int) -> Column:
     """A reproducible number in [0, 1) for a whole-number key."""
-    mixed = F.pmod(F.pmod(key.cast("long"), F.lit(1 << 31)) * F.lit(RANDOM_FACTOR) + F.lit(seed), F.lit(RANDOM_RANGE))
+    mixed = F.pmod(F.pmod(key.cast("long"), F.lit(1 << 31)) * F.lit(RANDOM_FACTOR) + F.lit(seed * SEED_FACTOR % RANDOM_RANGE), F.lit(RANDOM_RANGE))
     return mixed / F.lit(float(RANDOM_RANGE))
 
 

@@ -60,9 +60,12 @@ cut AS (SELECT 0 AS i, {_LOW}::DOUBLE AS edge UNION ALL SELECT 5, {_HIGH}::DOUBL
 )
 
 
+_SHIFT = 12345 * 2246822519 % 4294967296
+
+
 def _fraction(k: float, random: bool) -> str:
     order = "u, score, ra, dec, id" if random else "score, ra, dec, id"
-    draw = "((({} % 2147483648) * 2654435761 + 12345) % 4294967296) / 4294967296.0::DOUBLE"
+    draw = "((({} %% 2147483648) * 2654435761 + %d) %% 4294967296) / 4294967296.0::DOUBLE" % _SHIFT
     return (
         _RANKED
         + f""", t AS (SELECT *, {draw.format("id")} AS u, {draw.format("cell")} AS uc FROM k WHERE rank <= ceil({k})),
@@ -76,7 +79,7 @@ def _fraction_all(k: float, random: bool) -> str:
     order = "u, score, ra, dec, id" if random else "score, ra, dec, id"
     return (
         _RANKED
-        + f""", t AS (SELECT *, (((id % 2147483648) * 2654435761 + 12345) % 4294967296) / 4294967296.0::DOUBLE AS u FROM k WHERE rank <= ceil({k})),
+        + f""", t AS (SELECT *, (((id % 2147483648) * 2654435761 + {_SHIFT}) % 4294967296) / 4294967296.0::DOUBLE AS u FROM k WHERE rank <= ceil({k})),
 n AS (SELECT CAST(round_even({k} * count(DISTINCT cell), 0) AS BIGINT) AS n FROM t),
 a AS (SELECT *, row_number() OVER (ORDER BY {order}) AS at_ FROM t)
 SELECT id, cell AS __icov__ FROM a, n WHERE at_ <= n.n"""
