@@ -2,7 +2,7 @@
 
 Bound-certified repacking: pieces are dealt to packing partitions, each packed best-fit decreasing; dual feasible functions give a lower
 bound for each partition's number of containers. A partition that meets its bound is certified. Partitions with a gap exchange the
-documents of their containers that are not full (pooled and dealt anew) and are packed again, as long as that saves containers.
+documents of their emptiest containers (pooled, dealt anew and packed again), as long as that saves containers.
 
 Only sizes move: texts are read once to be counted.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import bisect
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,37 +86,55 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """No packing of ``sizes`` needs fewer containers: the best bound among three families of dual feasible functions.
+def room_needed(sizes: np.ndarray, capacity: int) -> float:
+    """Containers' worth of room that no packing of ``sizes`` can do without: the best among three families of dual feasible functions.
 
     (a) the identity; (b) for each e: sizes above capacity - e count as full, below e as nothing; (c) for each k: sizes are rounded down to
-    multiples of capacity / (k + 1) and scaled up to multiples of capacity / k. All in whole numbers.
+    multiples of capacity / (k + 1) and scaled up to multiples of capacity / k. Sums are whole numbers.
     """
     if not len(sizes):
-        return 0
+        return 0.0
     s = np.sort(sizes.astype(np.int64))
     upto = np.concatenate([[0], np.cumsum(s)])
-    best = -(-int(upto[-1]) // capacity)
+    best = int(upto[-1]) / capacity
     e = np.unique(s[s * 2 <= capacity])
     low, high = np.searchsorted(s, e, "left"), np.searchsorted(s, capacity - e, "right")
     if len(e):
-        weight = (len(s) - high) * capacity + upto[high] - upto[low]
-        best = max(best, int((-(-weight // capacity)).max()))
+        best = max(best, int(((len(s) - high) * capacity + upto[high] - upto[low]).max()) / capacity)
     best = max(best, int((s * 2 > capacity).sum()))
     for k in range(1, 21):
         times = (k + 1) * s
-        whole = times % capacity == 0
-        weight = int(np.where(whole, s * k, times // capacity * capacity).sum())
-        best = max(best, -(-weight // (capacity * k)))
+        weight = int(np.where(times % capacity == 0, s * k, times // capacity * capacity).sum())
+        best = max(best, weight / (capacity * k))
     return best
 
 
+def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+    """No packing of ``sizes`` needs fewer containers."""
+    return math.ceil(room_needed(sizes, capacity) - 1e-9)
+
+
+def emptiest(free: np.ndarray, capacity: int, needed: float) -> np.ndarray:
+    """Which containers a partition gives away: the emptiest ones, with twice the room by which it exceeds what it needs.
+
+    That gap counts in fractions, so a partition whose number of containers is certified still gives its partly filled last ones.
+    """
+    out = np.zeros(len(free), bool)
+    gap = len(free) - needed
+    if gap > 1e-9:
+        order = np.argsort(-free, kind="stable")
+        ahead = np.cumsum(free[order]) - free[order]
+        out[order] = (ahead < 2 * gap * capacity) & (free[order] > 0)
+    return out
+
+
 def _packer(capacity: int):
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         sizes = group["tokens"].to_numpy()
         box = best_fit_decreasing(sizes, capacity)
-        used = np.bincount(box, weights=sizes)
-        return pd.DataFrame({"uid": group["uid"], "tokens": sizes, "part": group["part"], "box": box, "full": used[box] == capacity, "boxes": len(used), "bound": lower_bound(sizes, capacity)})
+        needed = room_needed(sizes, capacity)
+        moving = emptiest(capacity - np.bincount(box, weights=sizes).astype(np.int64), capacity, needed)
+        return pd.DataFrame({"uid": group["uid"], "tokens": sizes, "part": group["part"], "box": box, "moving": moving[box]})
 
     return pack
 
@@ -123,7 +142,7 @@ def _packer(capacity: int):
 def _packed(items: DataFrame, n: int, capacity: int, turn: int) -> DataFrame:
     parts = max(1, -(-n // PIECES))
     dealt = items.select("uid", "tokens", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(parts)).alias("part"))
-    packed = dealt.groupBy("part").applyInPandas(_packer(capacity), "uid long, tokens long, part long, box long, full boolean, boxes long, bound long")
+    packed = dealt.groupBy("part").applyInPandas(_packer(capacity), "uid long, tokens long, part long, box long, moving boolean")
     return materialize(packed.withColumn("turn", F.lit(turn)))
 
 
@@ -150,9 +169,8 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", tok
     packed = _packed(items, items.count(), capacity, 0)
     settled = []
     for turn in range(1, ROUNDS + 1):
-        moving = (F.col("boxes") > F.col("bound")) & ~F.col("full")
-        settled.append(packed.where(~moving))
-        pool = packed.where(moving)
+        settled.append(packed.where(~F.col("moving")))
+        pool = packed.where(F.col("moving"))
         n = pool.count()
         if not n:
             break
