@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _scratch: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "skyloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -60,6 +63,26 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run: its files go along with the application, once a context."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    here = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="skyloom-code-")) / "skyloom.zip"  # read by the driver only, which serves it
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(here.rglob("*.py")):
+            z.write(source, source.relative_to(here.parent))
+    context.addPyFile(str(archive))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least one partition a core, for work that is heavy per row; inputs of enough files stay as they are, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``broadcast(df)`` if its counted ``rows`` stay within ``limit``; otherwise ``df`` for a shuffled join (AQE splits skew)."""
     return F.broadcast(df) if rows <= limit else df

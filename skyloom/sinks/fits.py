@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.healpix import pixels_at
+from skyloom.runtime import ship_package
 
 BLOCK, CARD = 2880, 80
 #: Pixels in one piece of a map: 512 KB of counts.
@@ -60,6 +61,7 @@ def _dense(group: pd.DataFrame) -> pd.DataFrame:
 
 def map_pieces(maps: DataFrame, depth: int) -> Iterator[bytes]:
     """The dense map of one depth in pieces, in pixel order: executors densify, the driver passes on one piece at a time."""
+    ship_package(maps.sparkSession)
     rows = maps.where(F.col("depth") == depth).select("ipix", "n")
     done = rows.groupBy(F.floor(F.col("ipix") / PIECE)).applyInPandas(_dense, "piece long, data binary").orderBy("piece")
     total, at = pixels_at(depth), 0

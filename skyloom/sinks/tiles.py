@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyloom.functions.numeric import column
+from skyloom.runtime import ship_package
 
 TILES_A_DIR = 10_000
 ALLSKY_ORDERS = (1, 2)
@@ -129,12 +130,14 @@ def tile_rows(selected: DataFrame, maps: DataFrame, columns: Sequence[str], orde
 
 def write_tiles(selected: DataFrame, maps: DataFrame, columns: Sequence[str], order: Sequence[Column], root: str) -> DataFrame:
     """Write every tile; (depth, ipix, n_written) of the files. Run by an action on the result (materialize it)."""
+    ship_package(selected.sparkSession)
     shown = [c for c in columns if c not in INTERNAL]
     return tile_rows(selected, maps, shown, order).mapInArrow(_writer(root, list(shown), tile_path), "depth int, ipix long, n_written long")
 
 
 def write_allsky(selected: DataFrame, stats: dict[int, int], columns: Sequence[str], order: Sequence[Column], root: str) -> DataFrame:
     """Write Norder{d}/Allsky.tsv for orders 1 and 2: one file each, streamed by one task in tile order (the format wants one file)."""
+    ship_package(selected.sparkSession)
     shown = [c for c in columns if c not in INTERNAL]
     total = F.lit(None).cast("long")
     for d, n in stats.items():
