@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from skyloom.functions.numeric import column
 from skyloom.llm.letters import reading_order, to_letters
 from skyloom.llm.wumanber import WINDOW, WuManber
+from skyloom.runtime import ship_package, spread
 
 MAX_ITEMS = 20_000
 MIN_WORDS = 15
@@ -279,4 +280,5 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     source = source.where(F.length("text") > 0)
     kind = documents.schema[doc_id].dataType.simpleString()
     prepared = Items(rows, stock)
-    return source.mapInArrow(_searcher(prepared, "doc_id", "text", "boxes" if boxes else None, min_words), f"doc_id {kind}, item_id long, n_words int")
+    ship_package(documents.sparkSession)
+    return spread(source).mapInArrow(_searcher(prepared, "doc_id", "text", "boxes" if boxes else None, min_words), f"doc_id {kind}, item_id long, n_words int")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.numeric import column
-from skyloom.runtime import materialize
+from skyloom.runtime import materialize, ship_package, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that splits text before the merges of the rank file.
@@ -55,7 +55,8 @@ def _counter(path: str):
 def token_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, tokens) of every row; NULL and empty texts have 0 tokens."""
     kind = documents.schema[doc_id].dataType.simpleString()
-    return documents.select(column(doc_id).alias("doc_id"), column(text).alias("text")).mapInArrow(_counter(tokenizer), f"doc_id {kind}, tokens long")
+    ship_package(documents.sparkSession)
+    return spread(documents.select(column(doc_id).alias("doc_id"), column(text).alias("text"))).mapInArrow(_counter(tokenizer), f"doc_id {kind}, tokens long")
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -140,6 +141,7 @@ def _packer(capacity: int):
 
 
 def _packed(items: DataFrame, n: int, capacity: int, turn: int) -> DataFrame:
+    ship_package(items.sparkSession)
     parts = max(1, -(-n // PIECES))
     dealt = items.select("uid", "tokens", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(parts)).alias("part"))
     packed = dealt.groupBy("part").applyInPandas(_packer(capacity), "uid long, tokens long, part long, box long, moving boolean")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.numeric import column
 from skyloom.llm.letters import LOOKALIKES, PAIRS
-from skyloom.runtime import materialize
+from skyloom.runtime import materialize, ship_package, spread
 
 #: Words making up at least this share of a language's words are known to its model: at most 1 / LEAST_RATE words a language.
 LEAST_RATE = 1e-4
@@ -176,11 +176,12 @@ def page_curves(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     ``slope`` and ``residual`` are those of the least-squares line through the page's log frequencies over log ranks (every word one point;
     words of one frequency share their mean log rank), 0 where all words are equally frequent.
     """
+    ship_package(documents.sparkSession)
     pages = documents.where(F.length(column(text)) > 0)
-    models = language_models(pages.select(column(text).alias("text"), column(lang).cast("string").alias("lang")))
+    models = language_models(spread(pages.select(column(text).alias("text"), column(lang).cast("string").alias("lang"))))
     kind = documents.schema[doc_id].dataType.simpleString()
     profiles = materialize(
-        pages.select(column(doc_id).alias("doc_id"), column(text).alias("text"))
+        spread(pages.select(column(doc_id).alias("doc_id"), column(text).alias("text")))
         .mapInArrow(_profiler(models, pa.int64()), f"doc_id {kind}, language string, {_PROFILE}")
         .withColumn("page", F.monotonically_increasing_id())  # ids may be NULL or repeated
     )
