@@ -253,15 +253,13 @@ def select_hierarchy(rows: DataFrame, s: Selection) -> DataFrame:
         if k <= 0:
             continue
         picked = materialize(select_depth(left, k, s).withColumn("depth", F.lit(depth)))
-        new = materialize(thresholds(picked, a.order_desc))
-        if new.isEmpty():
+        if picked.isEmpty():
             break
         chosen.append(picked)
         if not keep_ties:
-            if cuts is None:
-                cuts = new
-            else:
-                old = cuts.join(new.select(F.col(CELL).alias("_cell")), F.col(CELL) == F.col("_cell"), "left_anti")
-                cuts = materialize(old.unionByName(new))
+            new = thresholds(picked, a.order_desc)
+            if cuts is not None:
+                new = cuts.join(new.select(F.col(CELL).alias("_cell")), F.col(CELL) == F.col("_cell"), "left_anti").unionByName(new)
+            cuts = materialize(new)
             n_cuts = cuts.count()
     return reduce(DataFrame.unionByName, chosen) if chosen else nothing
