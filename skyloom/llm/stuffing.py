@@ -64,8 +64,12 @@ def folded(text: str) -> str:
 
 
 def words_of(text: str) -> list[str]:
-    """Folded words of two and more letters; numbers (no letter but digits) are left out."""
-    return [w for w in _WORD.findall(folded(text)) if len(w) > 1]
+    """Folded words of two and more characters."""
+    return words_of_folded(folded(text))
+
+
+def words_of_folded(text: str) -> list[str]:
+    return [w for w in _WORD.findall(text) if len(w) > 1]
 
 
 def language_key(lang: str | None) -> str:
@@ -105,35 +109,35 @@ class Languages:
         return best, float(p @ np.log(p) - fit[best]), logs[:, best]
 
 
-def line_stuffed(line: str, overused: set[str]) -> bool:
-    """Mostly addresses, or several hash tags, or an overused word twice, or mostly overused words."""
-    pieces = line.split()
-    if sum(p.startswith("#") for p in pieces) >= 2:
+def line_stuffed(line: str, words: list[str], overused: set[str], addresses: bool = True) -> bool:
+    """Mostly addresses, or several hash tags, or an overused word twice, or mostly overused words. ``words``: the line's folded words."""
+    if "#" in line and sum(p.startswith("#") for p in line.split()) >= 2:
         return True
     # an address that stands in a line of its own or after a short label
-    address = sum(len(a) for a in _ADDRESS.findall(line)) if "." in line or ":/" in line else 0
-    if address >= LINE_ADDRESS * len(line.strip()):
-        return address > 0
-    words = words_of(line)
+    if addresses and (address := sum(len(a) for a in _ADDRESS.findall(line))) and address >= LINE_ADDRESS * len(line.strip()):
+        return True
     heavy = [w for w in words if w in overused]
     if not heavy:
         return False
-    if len(heavy) > len(set(heavy)) and any(len(w) > 2 and heavy.count(w) > 1 for w in set(heavy)):
+    if any(len(w) > 2 and n > 1 for w, n in Counter(heavy).items()):
         return True
     return len(words) > 1 and sum(map(len, heavy)) >= LINE_LETTERS * sum(map(len, words))
 
 
 def page_profile(text: str, languages: Languages) -> tuple[str, int, float, list[tuple[int, int]], int, int] | None:
     """(language, words, divergence, frequency classes, lines, stuffed lines); None for a page without words."""
-    counts = Counter(words_of(text))
+    lines = [(line, words_of_folded(own)) for line, own in zip(text.split("\n"), folded(text).split("\n")) if line.strip()]
+    counts = Counter(w for _, words in lines for w in words)
     if not counts:
         return None
     total = sum(counts.values())
     best, divergence, logs = languages.closest(counts)
     most = np.log(EXCESS * total)
     overused = {w for (w, n), q in zip(counts.items(), logs) if n >= EXCESS_COUNT and np.log(n) >= q + most}
-    lines = [line for line in text.split("\n") if line.strip()]
-    stuffed = sum(line_stuffed(line, overused) for line in lines)
+    addresses = _ADDRESS.search(text) is not None
+    stuffed = 0
+    if overused or addresses or "#" in text:
+        stuffed = sum(line_stuffed(line, words, overused, addresses) for line, words in lines)
     return languages.names[best], total, divergence, sorted(Counter(counts.values()).items()), len(lines), stuffed
 
 
