@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.functions.numeric import column
+from skyloom.functions.numeric import column, quoted
 
 # Fixed values of Philox 2x32 (Salmon et al. 2011): multiplier, key increment, rounds
 MULTIPLIER, INCREMENT, ROUNDS = 0xD256D193, 0x9E3779B9, 10
@@ -63,4 +63,4 @@ def sampled(rows: DataFrame, identifier: str, registry: DataFrame, seed: int) ->
     Draws are made on the registry (once an identifier), and only picked identifiers meet the rows.
     """
     picked = registry.where(draw(F.col("id"), seed) < F.floor(F.col("rate") * float(1 << 32))).select(F.col("id").alias("_picked"))
-    return rows.join(picked, column(identifier).cast("long") == F.col("_picked"), "left_semi")
+    return rows.join(picked, rows[quoted(identifier)].cast("long") == picked["_picked"], "left_semi")
