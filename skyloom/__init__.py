@@ -2,7 +2,15 @@
 
 from skyloom.config import Config, config_from_mapping, describe_options, load_config
 
-__all__ = ["Config", "config_from_mapping", "describe_options", "load_config", "run"]
+__all__ = ["Config", "config_from_mapping", "describe_options", "display_available_configs", "load_config", "load_config_from_dict", "run", "run_pipeline"]
+
+#: The same function under the name used where a configuration is a plain dictionary.
+load_config_from_dict = config_from_mapping
+
+
+def display_available_configs() -> None:
+    """Print all options by section."""
+    print(describe_options())
 
 
 def run(spark, config):
@@ -10,3 +18,13 @@ def run(spark, config):
     from skyloom.plans.pipeline import run as run_
 
     return run_(spark, config)
+
+
+def run_pipeline(config):
+    """``run`` in the active session, or one made after the configuration's cluster section (workers and threads; slurm: as submitted)."""
+    from skyloom.runtime import build_session
+
+    c = config.cluster
+    master = None if c.mode == "slurm" else f"local[{c.n_workers * c.threads_per_worker}]"
+    memory = c.memory_per_worker.lower().removesuffix("b")
+    return run(build_session(config.output.cat_name, master, **{"spark.executor.memory": memory}), config)

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from skyloom.config import describe_options, load_config
-from skyloom.runtime import build_session
+from skyloom import describe_options, load_config, run_pipeline
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -18,13 +17,7 @@ def main(arguments: list[str] | None = None) -> int:
         return 0
     if not given.config:
         parser.error("--config is required")
-    from skyloom.plans.pipeline import run
-
-    config = load_config(given.config)
-    c = config.cluster
-    master = f"local[{c.n_workers * c.threads_per_worker}]" if c.mode == "local" else None
-    spark = build_session(config.output.cat_name, master)
-    result = run(spark, config)
+    result = run_pipeline(load_config(given.config))
     print(f"{result.n_rows} rows, {sum(result.n_written.values())} written in {sum(result.n_tiles.values())} tiles")
     return 0
 

@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.config import Config, check_for_run
@@ -22,11 +22,11 @@ from skyloom.operators import magnitude as mg
 from skyloom.operators.clean import normalise_positions
 from skyloom.operators.coverage import CELL, SCORE, Selection, best_first, select_hierarchy
 from skyloom.operators.densmap import compact_cells, coverage_cells, density_maps, density_stats
-from skyloom.runtime import materialize
+from skyloom.runtime import bounded, materialize
 from skyloom.sinks.fits import write_density_map
 from skyloom.sinks.metadata import RunLog, arguments, now, properties, write_coverage_map, write_text, write_votables
 from skyloom.sinks.tiles import ALLSKY_ORDERS, write_allsky, write_tiles
-from skyloom.sources.catalog import Roles, hats_index_order, read_catalog, roles
+from skyloom.sources.catalog import Roles, find_hats_root, hats_index_order, read_catalog, roles
 
 DEEP, ROW = "__deep__", "__row__"
 
@@ -62,8 +62,6 @@ def _step(spark: SparkSession, config: Config, name: str):
 
 def hats_ordinals(rows: DataFrame, norder: str, npix: str) -> DataFrame:
     """(norder, npix, ordinal) of the partitions, numbered by order and pixel (a few thousand rows at most: one per file of the catalogue)."""
-    from pyspark.sql import Window
-
     # numbered in one task: as many rows as the catalogue has partitions
     return rows.select(norder, npix).distinct().withColumn("ordinal", (F.row_number().over(Window.orderBy(norder, npix)) - 1).cast("long"))
 
@@ -83,8 +81,8 @@ def prepare(spark: SparkSession, config: Config) -> Prepared:
     else:
         rows = with_pixel(rows, as_double(rows, r.ra), as_double(rows, r.dec), order, DEEP)
     if a.use_hats_as_coverage:
-        ordinals = hats_ordinals(source, "Norder", "Npix").select(F.col("Norder").alias("_o"), F.col("Npix").alias("_p"), F.col("ordinal").alias(CELL))
-        rows = rows.join(F.broadcast(ordinals), (F.col("Norder") == F.col("_o")) & (F.col("Npix") == F.col("_p")), "left").drop("_o", "_p")
+        ordinals = materialize(hats_ordinals(source, "Norder", "Npix").select(F.col("Norder").alias("_o"), F.col("Npix").alias("_p"), F.col("ordinal").alias(CELL)))
+        rows = rows.join(bounded(ordinals, ordinals.count()), (F.col("Norder") == F.col("_o")) & (F.col("Npix") == F.col("_p")), "left").drop("_o", "_p")
     else:
         rows = rows.withColumn(CELL, parent(F.col(DEEP), order - a.coverage_order))
     available = list(r.keep)
@@ -99,7 +97,8 @@ def prepare(spark: SparkSession, config: Config) -> Prepared:
     # the row's content decides its place among equals: the same on every layout
     content = F.xxhash64(*[F.to_json(column(c)) if "map<" in rows.schema[c].dataType.simpleString() else column(c) for c in r.keep])
     rows = rows.select(*[column(c) for c in r.keep], *extra, content.alias("__content__"), F.monotonically_increasing_id().alias(ROW))
-    return Prepared(materialize(rows), r, order)
+    rows = materialize(rows)
+    return Prepared(rows.persist() if config.cluster.persist_ddfs else rows, r, order)
 
 
 def _magnitude_window(p: Prepared, config: Config) -> tuple[float, float]:
@@ -143,6 +142,8 @@ def run(spark: SparkSession, config: Config) -> RunResult:
     folder.mkdir(parents=True, exist_ok=True)
     log = RunLog(folder)
     log(f"start: {a.selection_mode}, orders 1 to {a.level_limit}")
+    if config.input.format.lower() != "hats" and any(find_hats_root(path) for path in config.input.paths if "://" not in path):
+        log("the input lies in a HATS catalogue; format hats would use its partitions")
     with _step(spark, config, "prepare"):
         p = prepare(spark, config)
     window = None
@@ -187,6 +188,8 @@ def run(spark: SparkSession, config: Config) -> RunResult:
         written, tiles = _by_depth(materialize(write_tiles(selected, maps, p.roles.keep, order, str(folder.resolve()))))
         allsky = {d: stats[d][0] for d in ALLSKY_ORDERS if d in stats}
         materialize(write_allsky(selected, allsky, p.roles.keep, order, str(folder.resolve())))
+    if config.cluster.persist_ddfs:
+        p.rows.unpersist()
     for d in sorted(written):
         log(f"depth {d}: {written[d]} rows in {tiles[d]} tiles")
     log("done")

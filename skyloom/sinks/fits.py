@@ -72,6 +72,13 @@ def map_pieces(maps: DataFrame, depth: int) -> Iterator[bytes]:
     yield from _empty(at, total)
 
 
+def dense_map(maps: DataFrame, depth: int) -> np.ndarray:
+    """The counts of all pixels of one depth as one array (8 bytes a pixel in the driver; depths up to DEEPEST_MAP)."""
+    if depth > DEEPEST_MAP:
+        raise ValueError(f"depth {depth} is too deep for a dense map")
+    return np.frombuffer(b"".join(map_pieces(maps, depth)), ">i8").astype(np.int64)
+
+
 def _empty(first: int, end: int) -> Iterator[bytes]:
     while first < end:
         n = min(PIECE, end - first)

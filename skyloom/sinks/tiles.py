@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import os
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from decimal import Decimal
 from typing import Any
@@ -80,33 +81,52 @@ def _plain(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     return out
 
 
+class _Tile:
+    """One file being written: under a name of its own until complete, so tasks running twice don't meet."""
+
+    def __init__(self, final: str, head: str) -> None:
+        os.makedirs(os.path.dirname(final), exist_ok=True)
+        self.final, self.rows = final, 0
+        self.temp = os.path.join(os.path.dirname(final), f".{os.path.basename(final)}.{uuid.uuid4().hex}.tmp")
+        self.file = open(self.temp, "w", encoding="utf-8", newline="")
+        self.file.write(head)
+
+    def add(self, line: str) -> None:
+        self.file.write(line)
+        self.rows += 1
+
+    def finish(self) -> None:
+        self.file.close()
+        os.replace(self.temp, self.final)
+
+    def discard(self) -> None:
+        self.file.close()
+        if os.path.exists(self.temp):
+            os.remove(self.temp)
+
+
 def _writer(root: str, columns: list[str], path_of: Callable[[int, int], str]) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, handle, temp, rows, done = None, None, "", 0, []
-
-        def close() -> None:
-            handle.close()
-            final = os.path.join(root, path_of(*open_key[:2]))
-            os.replace(temp, final)
-            done.append((*open_key[:2], rows))
-
-        for batch in batches:
-            keys = list(zip(*[batch.column(n).to_pylist() for n in ("_depth", "_ipix", "_in_catalogue", "_written")]))
-            cells = [[cell_text(v) for v in batch.column(f"_c{i}").to_pylist()] for i in range(len(columns))]
-            for key, line in zip(keys, zip(*cells)):
-                if key != open_key:
-                    if handle:
-                        close()
-                    open_key, rows = key, 0
-                    final = os.path.join(root, path_of(key[0], key[1]))
-                    os.makedirs(os.path.dirname(final), exist_ok=True)
-                    temp = os.path.join(os.path.dirname(final), f".{os.path.basename(final)}.{os.getpid()}.tmp")
-                    handle = open(temp, "w", encoding="utf-8", newline="")
-                    handle.write(completeness_line(key[2] or 0, key[3]) + header_line(columns))
-                handle.write("\t".join(line) + "\n")
-                rows += 1
-        if handle:
-            close()
+        key, tile, done = None, None, []
+        try:
+            for batch in batches:
+                keys = zip(*[batch.column(n).to_pylist() for n in ("_depth", "_ipix", "_in_catalogue", "_written")])
+                cells = [[cell_text(v) for v in batch.column(f"_c{i}").to_pylist()] for i in range(len(columns))]
+                for own, line in zip(keys, zip(*cells)):
+                    if own != key:
+                        if tile:
+                            tile.finish()
+                            done.append((*key[:2], tile.rows))
+                        key = own
+                        tile = _Tile(os.path.join(root, path_of(own[0], own[1])), completeness_line(own[2] or 0, own[3]) + header_line(columns))
+                    tile.add("\t".join(line) + "\n")
+            if tile:
+                tile.finish()
+                done.append((*key[:2], tile.rows))
+        except BaseException:
+            if tile:
+                tile.discard()
+            raise
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=["depth", "ipix", "n_written"])
 
     return write
@@ -123,7 +143,8 @@ def tile_rows(selected: DataFrame, maps: DataFrame, columns: Sequence[str], orde
     counts = maps.select(F.col("depth").alias("_d"), F.col("ipix").alias("_p"), F.col("n").alias("_in_catalogue"))
     met = kept.join(counts, (depth == F.col("_d")) & (pixel == F.col("_p")), "left")
     met = met.withColumn("_written", F.count(F.lit(1)).over(Window.partitionBy("depth", "ipix")))
-    met = met.repartition("depth", "ipix").sortWithinPartitions("depth", "ipix", *order)
+    # the count already gathered each tile in one partition
+    met = met.sortWithinPartitions("depth", "ipix", *order)
     text = [c.alias(f"_c{i}") for i, c in enumerate(_plain(met, columns))]
     return met.select(depth.alias("_depth"), pixel.alias("_ipix"), F.coalesce("_in_catalogue", F.lit(0).cast("long")).alias("_in_catalogue"), "_written", *text)
 
@@ -143,7 +164,7 @@ def write_allsky(selected: DataFrame, stats: dict[int, int], columns: Sequence[s
     for d, n in stats.items():
         total = F.when(F.col("depth") == d, n).otherwise(total)
     kept = selected.where(F.col("depth").isin(*ALLSKY_ORDERS)).withColumn("_written", F.count(F.lit(1)).over(Window.partitionBy("depth")))
-    kept = kept.repartition("depth").sortWithinPartitions("depth", "ipix", *order)
+    kept = kept.sortWithinPartitions("depth", "ipix", *order)
     text = [c.alias(f"_c{i}") for i, c in enumerate(_plain(kept, shown))]
     rows = kept.select(F.col("depth").cast("int").alias("_depth"), F.lit(-1).cast("long").alias("_ipix"), total.alias("_in_catalogue"), "_written", *text)
     return rows.mapInArrow(_writer(root, list(shown), lambda depth, _: f"Norder{depth}/Allsky.tsv"), "depth int, ipix long, n_written long")

@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import shutil
 import xml.etree.ElementTree as ET
 from pathlib import Path
 
@@ -13,7 +14,7 @@ from skyloom import cli
 from skyloom.config import config_from_mapping
 from skyloom.functions.healpix import pixels_at
 from skyloom.operators.densmap import compact_cells
-from skyloom.sinks.fits import PIECE, map_pieces, read_integer_table, write_integer_table
+from skyloom.sinks.fits import PIECE, dense_map, map_pieces, read_integer_table, write_integer_table
 from skyloom.sinks.metadata import properties, votable, write_coverage_map
 from skyloom.sinks.tiles import cell_text, completeness_line, header_line, tile_path
 from skyloom.sources.catalog import expand_paths, find_hats_root, read_catalog, read_properties, resolve, roles
@@ -114,6 +115,24 @@ def test_hats(spark, hats, tmp_path):
         read_catalog(spark, config(str(tmp_path), fmt="hats"))
 
 
+def test_hats_leaves_as_files(spark, hats, tmp_path):
+    root, n = hats
+    for leaf in (root / "catalog/dataset").glob("Norder=*/Dir=*/Npix=*"):
+        to = tmp_path / "cat/dataset" / leaf.relative_to(root / "catalog/dataset").parent
+        to.mkdir(parents=True, exist_ok=True)
+        shutil.copy(next(leaf.glob("part-*.parquet")), to / f"{leaf.name}.parquet")
+    df = read_catalog(spark, config(str(tmp_path / "cat"), fmt="hats"))
+    assert df.count() == n and {(r.Norder, r.Npix) for r in df.select("Norder", "Npix").distinct().collect()} == {(0, 1), (0, 7), (1, 16)}
+
+
+def test_no_rows(spark, source, tmp_path):
+    spark.read.parquet(source).limit(0).write.parquet(str(tmp_path / "none"))
+    result = skyloom.run(spark, config(str(tmp_path / "none"), tmp_path / "h"))
+    assert result.n_rows == 0 and result.n_written == {} and read_integer_table(tmp_path / "h/densmap_o2.fits")[1].sum() == 0
+    with pytest.raises(ValueError):
+        skyloom.run(spark, config(str(tmp_path / "none"), tmp_path / "h", selection_mode="mag_global", mag_column="mag"))
+
+
 def read_tile(path):
     lines = path.read_text(encoding="utf-8").split("\n")
     assert lines[-1] == ""
@@ -169,9 +188,23 @@ def test_magnitude_run_covers_the_window(spark, source, tmp_path):
 
 def test_expression_scores_and_bias_run(spark, source, tmp_path):
     result = skyloom.run(spark, config(source, tmp_path / "h", columns={"score": "np.sqrt(mag) + dec * 0", "keep": []}, density_bias_mode="inverse", k_per_cov_initial=0.7, targets_total_per_level={3: 10}))
+    assert not list((tmp_path / "h").rglob("*.tmp"))
     assert 0 < result.n_written[1] and result.n_written.get(3, 0) <= pixels_at(2)
 
 
+def test_run_from_a_dictionary(spark, source, tmp_path, capsys):
+    c = skyloom.load_config_from_dict({"input": {"paths": [source]}, "columns": {"ra": "ra", "dec": "dec", "score": "mag"}, "algorithm": {"level_limit": 4}, "cluster": {"persist_ddfs": True, "diagnostics_mode": "per_step"}, "output": {"out_dir": str(tmp_path / "o"), "cat_name": "c"}})
+    assert skyloom.run_pipeline(c).n_rows == N
+    skyloom.display_available_configs()
+    assert "coverage_order" in capsys.readouterr().out
+
+
+def test_hint_at_hats(spark, hats, tmp_path):
+    leaf = next((hats[0] / "catalog/dataset").glob("Norder=*/Dir=*/Npix=*"))
+    skyloom.run(spark, config(str(leaf), tmp_path / "h", k_per_cov_initial=0))
+    assert "HATS" in (tmp_path / "h/process.log").read_text()
+
+
 def test_empty_selection(spark, source, tmp_path):
     out = tmp_path / "h"
     result = skyloom.run(spark, config(source, out, k_per_cov_initial=0))
@@ -212,6 +245,9 @@ def test_fits(spark, tmp_path):
     assert len(dense) == last + 1 and dense.nonzero()[0].tolist() == [0, PIECE * 3 + 7, last] and dense.sum() == 18
     assert np.frombuffer(b"".join(map_pieces(maps, 1)), ">i8").tolist() == [9] + [0] * 47
     assert sum(map(len, map_pieces(maps, 2))) == 8 * pixels_at(2)
+    assert dense_map(maps, 1).tolist() == [9] + [0] * 47
+    with pytest.raises(ValueError):
+        dense_map(maps, 13)
 
 
 def test_coverage_files(spark, tmp_path):
