@@ -1,13 +1,14 @@
 """Pages stuffed with keywords, addresses or product tags.
 
-1. Word rates of each language are counted over all pages.
+1. Word rates of each language are counted over all distinct texts, so copies of a page don't make its words common.
 2. Each page is reduced to its frequency classes (how many words occur f times), its divergence from the language it is closest to, and
    how many of its lines are stuffed.
 3. SQL windows rank the classes of each page and fit log frequency against log rank: slope and residual.
-4. A page is flagged if slope, residual or divergence is extreme among pages of the same language and comparable length
-   (robust: median and median deviation of the group); of flagged pages the line check decides.
+4. A page most of whose lines are stuffed is flagged if slope, residual or divergence is extreme against ordinary pages (those that the line
+   check clears, each distinct text once) of the same language and comparable length (robust: their median and median deviation).
 
-Pages are read twice and never shuffled; what moves is word counts, pre-aggregated per batch, and a few numbers a page.
+Pages are read three times and not shuffled unless more than BROADCAST_ROWS texts repeat; what moves is text hashes, word counts,
+pre-aggregated per batch, and a few numbers a page.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.numeric import column
 from skyloom.llm.letters import LOOKALIKES, PAIRS
-from skyloom.runtime import materialize, ship_package, spread
+from skyloom.runtime import bounded, materialize, ship_package, spread
 
 #: Words making up at least this share of a language's words are known to its model: at most 1 / LEAST_RATE words a language.
 LEAST_RATE = 1e-4
@@ -78,12 +79,16 @@ def language_key(lang: str | None) -> str:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word counts of a batch: of all texts standing once together (copy NULL), of each repeated text by itself."""
     for batch in batches:
-        counts: dict[str, Counter] = defaultdict(Counter)
-        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-            counts[language_key(lang)].update(words_of(text or ""))
-        rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
+        counts: dict[tuple[str, int | None], Counter] = defaultdict(Counter)
+        for text, lang, copy in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "copy"))):
+            key = language_key(lang), copy
+            if copy is None or key not in counts:
+                counts[key].update(words_of(text or ""))
+        rows = [(lang, w, copy, n) for (lang, copy), c in counts.items() for w, n in c.items()]
+        kinds = (("lang", pa.string()), ("word", pa.string()), ("copy", pa.int64()), ("n", pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[name for name, _ in kinds])
 
 
 class Languages:
@@ -153,15 +158,19 @@ def _profiler(languages: Languages, id_type: pa.DataType):
             keep = [i for i, x in enumerate(found) if x]
             cols = list(zip(*[found[i] for i in keep])) or [()] * 6
             cols[3] = [[{"f": f, "n": n} for f, n in c] for c in cols[3]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(keep, pa.int64())), *[pa.array(list(c), k) for c, k in zip(cols, kinds)]], names=["doc_id", "language", "n_words", "divergence", "classes", "n_lines", "n_stuffed"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(keep, pa.int64())) for c in ("doc_id", "text_hash")], *[pa.array(list(c), k) for c, k in zip(cols, kinds)]], names=["doc_id", "text_hash", "language", "n_words", "divergence", "classes", "n_lines", "n_stuffed"])
 
     return profile
 
 
 def language_models(pages: DataFrame) -> Languages:
-    """Word rates per language label and over all pages, from (text, lang)."""
-    counted = pages.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counted = materialize(counted)
+    """Word rates per language label and over all pages, from (text, lang). A repeated text counts once under each of its labels."""
+    pages = pages.withColumn("copy", F.xxhash64("text"))
+    repeated = materialize(pages.groupBy("copy").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    marked = pages.join(bounded(repeated, repeated.count()), "copy", "left").select("text", "lang", F.when(F.col("copies").isNotNull(), F.col("copy")).alias("copy"))
+    counted = spread(marked).mapInArrow(_count_words, "lang string, word string, copy long, n long")
+    counted = counted.groupBy("lang", "word", "copy").agg(F.sum("n").alias("all"), F.max("n").alias("one"))
+    counted = materialize(counted.groupBy("lang", "word").agg(F.sum(F.when(F.col("copy").isNull(), F.col("all")).otherwise(F.col("one"))).alias("n")))
     total = counted.agg(F.sum("n")).first()[0] or 0
     names = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_LANGUAGE * total).collect()}
     rates: dict[str, dict[str, float]] = {"*": {}}
@@ -175,18 +184,18 @@ def language_models(pages: DataFrame) -> Languages:
 
 
 def page_curves(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per page with words: (doc_id, language, length_class, n_words, slope, residual, divergence, n_lines, n_stuffed).
+    """One row per page with words: (doc_id, text_hash, language, length_class, n_words, slope, residual, divergence, n_lines, n_stuffed).
 
     ``slope`` and ``residual`` are those of the least-squares line through the page's log frequencies over log ranks (every word one point;
     words of one frequency share their mean log rank), 0 where all words are equally frequent.
     """
     ship_package(documents.sparkSession)
     pages = documents.where(F.length(column(text)) > 0)
-    models = language_models(spread(pages.select(column(text).alias("text"), column(lang).cast("string").alias("lang"))))
+    models = language_models(pages.select(column(text).alias("text"), column(lang).cast("string").alias("lang")))
     kind = documents.schema[doc_id].dataType.simpleString()
     profiles = materialize(
-        spread(pages.select(column(doc_id).alias("doc_id"), column(text).alias("text")))
-        .mapInArrow(_profiler(models, pa.int64()), f"doc_id {kind}, language string, {_PROFILE}")
+        spread(pages.select(column(doc_id).alias("doc_id"), column(text).alias("text"), F.xxhash64(column(text)).alias("text_hash")))
+        .mapInArrow(_profiler(models, pa.int64()), f"doc_id {kind}, text_hash long, language string, {_PROFILE}")
         .withColumn("page", F.monotonically_increasing_id())  # ids may be NULL or repeated
     )
     points = profiles.select("page", F.explode("classes").alias("c")).select("page", "c.f", "c.n")
@@ -209,13 +218,17 @@ def stuffed_pages(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     curves = materialize(page_curves(documents, doc_id, text, lang))
     measures = ("slope", "residual", "divergence")
-    middle = lambda by, tag: curves.groupBy(*by).agg(F.count(F.lit(1)).alias(f"{tag}pages"), *[F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"{tag}{m}") for m in measures])
+    stuffed = F.col("n_stuffed") * 2 > F.col("n_lines")
+    # what ordinary pages are like; a text counts once, however often it was delivered
+    ordinary = materialize(curves.where(~stuffed).dropDuplicates(["text_hash"]).select("language", "length_class", *measures))
+    middle = lambda by, tag: ordinary.groupBy(*by).agg(F.count(F.lit(1)).alias(f"{tag}pages"), *[F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"{tag}{m}") for m in measures])
     own, any_ = middle(["language", "length_class"], "own_"), middle(["length_class"], "any_")
     # at most 64 length classes for each language with a model
-    judged = curves.join(F.broadcast(own), ["language", "length_class"]).join(F.broadcast(any_), "length_class")
+    judged = curves.where(stuffed).join(F.broadcast(own), ["language", "length_class"], "left").join(F.broadcast(any_), "length_class", "left")
     flagged = F.lit(False)
     for m in measures:
         q = F.when(F.col("own_pages") >= GROUP, F.col(f"own_{m}")).otherwise(F.col(f"any_{m}"))
         spread = F.greatest((q[2] - q[0]) / 2, F.lit(1e-9))  # half the interquartile range: a median deviation
         flagged |= F.abs(F.col(m) - q[1]) > FLAG * spread
-    return judged.withColumn("flagged", flagged).where(F.col("flagged") & (F.col("n_stuffed") * 2 > F.col("n_lines"))).select(F.col("doc_id").alias(doc_id), "language", *measures, "n_lines", "n_stuffed")
+    # no ordinary page of that length: nothing speaks against the line check
+    return judged.where(F.coalesce(flagged, F.lit(True))).select(F.col("doc_id").alias(doc_id), "language", *measures, "n_lines", "n_stuffed")

@@ -183,6 +183,15 @@ def test_stuffed_pages(spark):
     assert stuffed_pages(documents(spark, [])).count() == 0
 
 
+def test_copies_of_a_stuffed_page_do_not_hide_it(spark):
+    rows = spam_and_prose()
+    text = dict(rows)[1000]
+    # more copies than ordinary pages of that length, and many copies of an ordinary page
+    docs = [*rows, *[(5000 + k, text) for k in range(260)], *[(9000 + k, rows[7][1]) for k in range(260)]]
+    got = Counter(r["doc_id"] for r in stuffed_pages(documents(spark, docs)).collect())
+    assert got == Counter([1000, 1001, 1002, 1003, *range(5000, 5260)])
+
+
 def test_curves(spark):
     # frequencies 4, 2, 1: a line through (log rank, log f) by plain least squares
     got = page_curves(documents(spark, [(1, "aa aa aa aa bb bb cc"), (2, "xx yy zz"), (3, "one")])).collect()
