@@ -37,7 +37,7 @@ FLOOR = 1e-5
 EXCESS, EXCESS_COUNT = 5.0, 3
 #: A line is stuffed if overused words hold this share of its letters, or addresses this share of its characters.
 LINE_LETTERS, LINE_ADDRESS = 0.6, 0.35
-#: Flags: distance from the group's median in median deviations; groups smaller than this are compared with all pages of that length.
+#: Flags: distance from the group's median in median deviations; a smaller group gives way to a wider one, at last to the line check alone.
 FLAG, GROUP = 1.5, 30
 
 _WORD = re.compile(r"[^\W_]+")
@@ -221,14 +221,18 @@ def stuffed_pages(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     stuffed = F.col("n_stuffed") * 2 > F.col("n_lines")
     # what ordinary pages are like; a text counts once, however often it was delivered
     ordinary = materialize(curves.where(~stuffed).dropDuplicates(["text_hash"]).select("language", "length_class", *measures))
-    middle = lambda by, tag: ordinary.groupBy(*by).agg(F.count(F.lit(1)).alias(f"{tag}pages"), *[F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"{tag}{m}") for m in measures])
-    own, any_ = middle(["language", "length_class"], "own_"), middle(["length_class"], "any_")
-    # at most 64 length classes for each language with a model
-    judged = curves.where(stuffed).join(F.broadcast(own), ["language", "length_class"], "left").join(F.broadcast(any_), "length_class", "left")
+    middle = lambda among, by, tag: among.groupBy(*by).agg(F.count(F.lit(1)).alias(f"{tag}pages"), *[F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"{tag}{m}") for m in measures])
+    near = ordinary.withColumn("length_class", F.explode(F.array(*[F.col("length_class") + i for i in (-1, 0, 1)])))
+    # the page's own group, all languages at that length, the language at neighbouring lengths: the first with enough pages counts
+    wider = (("own_", ["language", "length_class"], ordinary), ("any_", ["length_class"], ordinary), ("near_", ["language", "length_class"], near))
+    judged = curves.where(stuffed)
+    for tag, by, among in wider:
+        # at most 64 length classes for each language with a model
+        judged = judged.join(F.broadcast(middle(among, by, tag)), by, "left")
     flagged = F.lit(False)
     for m in measures:
-        q = F.when(F.col("own_pages") >= GROUP, F.col(f"own_{m}")).otherwise(F.col(f"any_{m}"))
+        q = F.coalesce(*[F.when(F.col(f"{tag}pages") >= GROUP, F.col(f"{tag}{m}")) for tag, *_ in wider])
         spread = F.greatest((q[2] - q[0]) / 2, F.lit(1e-9))  # half the interquartile range: a median deviation
         flagged |= F.abs(F.col(m) - q[1]) > FLAG * spread
-    # no ordinary page of that length: nothing speaks against the line check
+    # nowhere enough pages to compare with: nothing speaks against the line check
     return judged.where(F.coalesce(flagged, F.lit(True))).select(F.col("doc_id").alias(doc_id), "language", *measures, "n_lines", "n_stuffed")

@@ -192,6 +192,23 @@ def test_copies_of_a_stuffed_page_do_not_hide_it(spark):
     assert got == Counter([1000, 1001, 1002, 1003, *range(5000, 5260)])
 
 
+def test_stuffed_pages_without_others_to_compare_with(spark):
+    rows = spam_and_prose()
+    long = "\n".join([dict(rows)[1001]] * 40)  # alone in its length class
+    got = stuffed_pages(documents(spark, [*rows, (4000, long)])).collect()
+    assert {1000, 1001, 1002, 1003, 4000} == {r["doc_id"] for r in got}
+    # a table of a few pages (too few words for rates: keywords alone can't be told there)
+    few = [rows[0], rows[1], *[r for r in rows if r[0] in (1001, 1003, 2000)]]
+    assert sorted(r["doc_id"] for r in stuffed_pages(documents(spark, few)).collect()) == [1001, 1003]
+    # fewer ordinary pages than a group needs, as unlike each other as a stuffed page is unlike them
+    listing = [(6000 + k, rows[-2][1].replace("Maid", f"Maid{k}")) for k in range(10)]
+    assert rows[-2][0] == 2000
+    mixed = [*rows[:10], *listing, (1001, dict(rows)[1001]), (1003, dict(rows)[1003])]
+    assert sorted(r["doc_id"] for r in stuffed_pages(documents(spark, mixed)).collect()) == [1001, 1003]
+    # one ordinary page and a stuffed one
+    assert [r["doc_id"] for r in stuffed_pages(documents(spark, [rows[0], (9, dict(rows)[1001])])).collect()] == [9]
+
+
 def test_curves(spark):
     # frequencies 4, 2, 1: a line through (log rank, log f) by plain least squares
     got = page_curves(documents(spark, [(1, "aa aa aa aa bb bb cc"), (2, "xx yy zz"), (3, "one")])).collect()
