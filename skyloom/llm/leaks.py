@@ -5,6 +5,8 @@ page is compared with the item letter by letter, tolerating misread, lost and ad
 whole interposed lines (adverts, headings, lines of another column) are joined. A page leaks an item if the joined pieces cover
 ``min_words`` consecutive words of it.
 
+All items share one set of windows: a window is found once, however many items hold it, and items of equal letters are compared once.
+
 Only the items (a stated set, searched in blocks of at most MAX_ITEMS) travel to the tasks; pages are read once per block, never
 shuffled or sent to the driver, and never cut.
 """
@@ -22,18 +24,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.numeric import column
-from skyloom.llm.letters import reading_order, to_letters
+from skyloom.llm.letters import Letters, reading_order, to_letters
 from skyloom.llm.wumanber import WINDOW, WuManber
 from skyloom.runtime import ship_package, spread
 
 MAX_ITEMS = 20_000
 MIN_WORDS = 15
-#: A window is lengthened until so few items share it, or it has LONGEST letters (then all sharing items are candidates).
-SHARED, LONGEST = 3, 48
 #: A first sentence standing in so many items is a stock instruction.
 STOCK_ITEMS = 3
 #: UTF-16 units of text handled at once.
 CHUNK_UNITS = 4_000_000
+#: Letters of no item between two items.
+EDGE = 64
+#: Exact letters after which a stretch is compared in full.
+LONG_RUN = 40
+#: Places of windows in items looked at together (or one page's, if it has more).
+PLACES_AT_ONCE = 4_000_000
 #: Letters: drift inside a piece; damaged letters between two pieces of a line; letters lost around an interposed line; distance from a
 #: line's end or start that counts as at it.
 DRIFT, DAMAGED, LOST, AT_EDGE = 3, 24, 6, 4
@@ -44,10 +50,12 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 class Items:
-    """Items prepared for the search: letters, the word of each letter, patterns."""
+    """Items prepared for the search: letters, the word of each letter, windows. ``ids[i]``: all items that read as text i."""
 
     def __init__(self, rows: list[tuple[int, str]], stock: frozenset[str] = frozenset()) -> None:
-        self.ids, self.letters, self.word = [], [], []
+        self.ids: list[list[int]] = []
+        self.letters, self.word = [], []
+        same: dict[tuple[bytes, bytes], int] = {}
         for item_id, text in rows:
             if item_id is None or not text:
                 continue
@@ -57,37 +65,32 @@ class Items:
             # all words in one stream, so that pairs of letters merge as they do on pages
             whole = to_letters([" ".join(words)])
             begin = np.cumsum([0, *[len(w.encode("utf-16-le", "surrogatepass")) // 2 + 1 for w in words]])
-            self.ids.append(item_id)
-            self.letters.append(whole.codes)
-            self.word.append(np.searchsorted(begin, whole.unit, side="right") - 1)
-        shared: dict[bytes, set[int]] = defaultdict(set)
-        starts = []
-        for i, (codes, word) in enumerate(zip(self.letters, self.word)):
-            first = np.flatnonzero(np.diff(word, prepend=-1))
-            starts.append([int(p) for p in first if p + WINDOW <= len(codes)])
-        # lengthen all windows in step, keeping those already rare
-        active = [(i, p) for i, ps in enumerate(starts) for p in ps]
+            word = np.searchsorted(begin, whole.unit, side="right") - 1
+            i = same.setdefault((whole.codes.tobytes(), word.tobytes()), len(self.ids))
+            if i == len(self.ids):
+                self.ids.append([])
+                self.letters.append(whole.codes)
+                self.word.append(word)
+            self.ids[i].append(item_id)
+        # the window at each word start
         found: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for length in range(WINDOW, LONGEST + 1, 4):
-            shared.clear()
-            for i, p in active:
-                shared[self.letters[i][p : p + length].tobytes()].add(i)
-            rest = []
-            for i, p in active:
-                key = self.letters[i][p : p + length].tobytes()
-                ends = p + length + 4 > len(self.letters[i])
-                if len(shared[key]) <= SHARED or ends or length + 4 > LONGEST:
-                    found[key].append((i, p))
-                else:
-                    rest.append((i, p))
-            active = rest
+        for i, (codes, word) in enumerate(zip(self.letters, self.word)):
+            for p in np.flatnonzero(np.diff(word, prepend=-1)).tolist():
+                if p + WINDOW <= len(codes):
+                    found[codes[p : p + WINDOW].tobytes()].append((i, p))
         keys = list(found)
         self.search = WuManber([np.frombuffer(k, np.uint8) for k in keys])
-        self.lengths = np.array([len(k) for k in keys], np.int64)
         self.first = np.cumsum([0, *[len(found[k]) for k in keys]])
         places = np.array([x for k in keys for x in found[k]], np.int64).reshape(-1, 2)
         self.item, self.place = places[:, 0], places[:, 1]
         self.bytes = [c.tobytes() for c in self.letters]
+        # all items one after the other, EDGE letters of no code between them
+        gap = np.full(EDGE, 255, np.uint8)
+        self.all = np.concatenate([gap, *[x for c in self.letters for x in (c, gap)]])
+        self.all_words = np.concatenate([gap.astype(np.int64), *[x for w in self.word for x in (w, gap)]])
+        sizes = np.array([len(c) for c in self.letters], np.int64)
+        self.begin = np.cumsum([EDGE, *(sizes + EDGE)])[:-1]
+        self.end = self.begin + sizes
 
 
 def _sentence(text: str) -> str:
@@ -150,10 +153,11 @@ def _alike(a: bytes, b: bytes) -> bool:
     return row[-1] <= most
 
 
-def _pieces(s: bytes, t: bytes, hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(page start, page end, item start, item end) of maximal alike stretches around the exact hits (page, item, length)."""
+def _pieces(s: bytes, t: bytes, hits: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """(page start, page end, item start, item end) of maximal alike stretches around the exact hits (page, item) of WINDOW letters."""
     out: list[tuple[int, int, int, int]] = []
-    for q, p, n in hits:
+    n = WINDOW
+    for q, p in hits:
         # a hit inside an earlier stretch, on its diagonal, adds nothing
         if any(a <= q and q + n <= b and c <= p and p + n <= d and abs((q - a) - (p - c)) <= DRIFT + (b - a) // 20 for a, b, c, d in out[-6:]):
             continue
@@ -200,36 +204,111 @@ def _whole_words(p0: int, p1: int, word: np.ndarray) -> int:
     return max(n, 0)
 
 
-def search_pages(pages: list[str], items: Items, least: int = 4) -> Iterator[tuple[int, int, int]]:
-    """(index of page, index of item, words covered) for every page and item with at least ``least`` exact pieces on the page."""
+def search_pages(pages: list[str], items: Items, least: int = 4, min_words: int = 1) -> Iterator[tuple[int, int, int]]:
+    """(index of page, index of item, words covered) for every page and item with at least ``least`` exact pieces on the page.
+
+    Left out are pairs that can't reach ``min_words``.
+    """
     letters = to_letters(pages)
     start, pattern = items.search.search(letters.codes)
-    inside = letters.text[start] == letters.text[np.minimum(start + items.lengths[pattern] - 1, len(letters.text) - 1)] if len(start) else np.empty(0, bool)
+    inside = letters.text[start] == letters.text[np.minimum(start + WINDOW - 1, len(letters.text) - 1)] if len(start) else np.empty(0, bool)
     start, pattern = start[inside], pattern[inside]
     if not len(start):
         return
+    order = np.argsort(start, kind="stable")
+    start, pattern = start[order], pattern[order]
+    newline = np.cumsum(letters.units == 10)
+    for a, b in _runs(letters.text[start], items.first[pattern + 1] - items.first[pattern]):
+        yield from _found(letters, newline, items, start[a:b], pattern[a:b], least, min_words)
+
+
+def _runs(page: np.ndarray, many: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Hits of whole pages, as many as make up to PLACES_AT_ONCE places."""
+    edge = np.append(np.flatnonzero(np.diff(page)) + 1, len(page))  # ends of pages
+    sums = np.cumsum(many)[edge - 1]
+    a = done = 0
+    for k, b in enumerate(edge.tolist()):
+        if k + 1 == len(edge) or sums[k + 1] - done > PLACES_AT_ONCE:
+            yield a, b
+            a, done = b, int(sums[k])
+
+
+def _side(s: np.ndarray, t: np.ndarray, q: np.ndarray, p: np.ndarray, way: int) -> tuple[np.ndarray, np.ndarray]:
+    """What _extend finds at most: exactly alike letters from q and p on, and whether it may go on after them."""
+    run, active = np.zeros(len(q), np.int64), np.arange(len(q))
+    last = len(s) - 1
+    for k in range(LONG_RUN):
+        a = q[active] + way * k
+        active = active[(a >= 0) & (a <= last) & (s[np.clip(a, 0, last)] == t[p[active] + way * k])]
+        run[active] = k + 1
+    more = run == LONG_RUN
+    for dq, dp in _STEPS:
+        same = np.ones(len(q), bool)
+        for k in range(4):
+            same &= s[np.clip(q + way * (run + dq + k), 0, last)] == t[p + way * (run + dp + k)]
+        more |= same
+    return run, more
+
+
+def _hopeful(s: np.ndarray, items: Items, q: np.ndarray, item: np.ndarray, p: np.ndarray, pair: np.ndarray, min_words: int) -> np.ndarray:
+    """Of hits sorted by pair, those that let their pair reach ``min_words``; a pair without any can't.
+
+    A hit that may go on beyond its exactly alike letters does. All others are pieces of known ends; pieces that continue each other miss
+    at most DAMAGED item letters in between, so the words from the first to the last of such a row are the most they can cover.
+    """
+    if not len(q):
+        return np.zeros(0, bool)
+    t, begin, end = items.all, items.begin[item], items.end[item]
+    p = p + begin
+    ahead, on = _side(s, t, q + WINDOW, p + WINDOW, 1)
+    back, off = _side(s, t, q - 1, p - 1, -1)
+    c, d = p - back, p + WINDOW + ahead
+    # near an item's ends fewer alike letters are enough to go on
+    more = on | off | ((d < end) & (end - d < 6)) | ((c > begin) & (c - begin < 6))
+    order = np.lexsort((c, pair))
+    c, d = c[order], d[order]
+    new = np.diff(pair, prepend=-1) != 0  # the same order of pairs as before
+    far = (np.cumsum(new) - 1) * (len(t) + 1)
+    reach = np.maximum.accumulate(d + far) - far
+    cut = new.copy()
+    cut[1:] |= c[1:] - reach[:-1] > DAMAGED
+    first = np.flatnonzero(cut)
+    final = np.append(first[1:], len(c)) - 1
+    words = items.all_words[reach[final] - 1] - items.all_words[c[first]] + 1
+    more[order] |= np.repeat(words >= min_words, final - first + 1)
+    return more
+
+
+def _found(letters: Letters, newline: np.ndarray, items: Items, start: np.ndarray, pattern: np.ndarray, least: int, min_words: int) -> Iterator[tuple[int, int, int]]:
+    """What search_pages gives, from all hits of some pages."""
     many = items.first[pattern + 1] - items.first[pattern]
     which = items.first[pattern].repeat(many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    q, n = start.repeat(many), items.lengths[pattern].repeat(many)
-    item, p = items.item[which], items.place[which]
+    q, item, p = start.repeat(many), items.item[which], items.place[which]
     page = letters.text[q].astype(np.int64)
-    order = np.lexsort((q, item, page))
-    q, n, item, p, page = q[order], n[order], item[order], p[order], page[order]
     pair = page * (len(items.ids) + 1) + item
+    order = np.lexsort((q, pair))
+    q, item, p, page, pair = q[order], item[order], p[order], page[order], pair[order]
     edge = np.flatnonzero(np.diff(pair, prepend=-1))
     ends = np.append(edge[1:], len(pair))
-    newline = np.cumsum(letters.units == 10)
-    for a, b in zip(edge.tolist(), ends.tolist()):
-        if b - a < least or len(set(p[a:b].tolist())) < least:
+    enough = ends - edge >= least
+    held = np.repeat(enough, ends - edge)
+    hope = np.zeros(len(pair), bool)
+    hope[held] = _hopeful(letters.codes, items, q[held], item[held], p[held], pair[held], min_words)
+    enough &= np.logical_or.reduceat(hope, edge)
+    at = -1
+    for a, b in zip(edge[enough].tolist(), ends[enough].tolist()):
+        if len(set(p[a:b].tolist())) < least:
             continue
         k, i = int(page[a]), int(item[a])
-        low, high = int(letters.starts[k]), int(letters.starts[k + 1])
-        s = letters.codes[low:high].tobytes()
-        line = newline[letters.unit[low:high]]
-        line_of = line - line[0]
-        line_first = np.searchsorted(line_of, np.arange(line_of[-1] + 1))
-        line_last = np.searchsorted(line_of, np.arange(line_of[-1] + 1), side="right") - 1
-        pieces = _pieces(s, items.bytes[i], list(zip((q[a:b] - low).tolist(), p[a:b].tolist(), n[a:b].tolist())))
+        if k != at:
+            at = k
+            low, high = int(letters.starts[k]), int(letters.starts[k + 1])
+            s = letters.codes[low:high].tobytes()
+            line = newline[letters.unit[low:high]]
+            line_of = line - line[0]
+            lines = np.arange(line_of[-1] + 1)
+            line_first, line_last = np.searchsorted(line_of, lines), np.searchsorted(line_of, lines, side="right") - 1
+        pieces = _pieces(s, items.bytes[i], list(zip((q[a:b] - low).tolist(), p[a:b].tolist())))
         yield k, i, _words_covered(pieces, s, items.bytes[i], items.word[i], line_of, line_first, line_last)
 
 
@@ -251,11 +330,12 @@ def _searcher(items: Items, doc_id: str, text: str, boxes: str | None, min_words
             ids = batch.column(doc_id)
             docs, found, words = [], [], []
             for a, b in _blocks(pages, CHUNK_UNITS):
-                for k, i, n in search_pages(pages[a:b], items):
+                for k, i, n in search_pages(pages[a:b], items, min_words=min_words):
                     if n >= min_words:
-                        docs.append(a + k)
-                        found.append(items.ids[i])
-                        words.append(n)
+                        for item_id in items.ids[i]:
+                            docs.append(a + k)
+                            found.append(item_id)
+                            words.append(n)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(docs, pa.int64())), pa.array(found, pa.int64()), pa.array(words, pa.int32())], names=["doc_id", "item_id", "n_words"])
 
     return search

@@ -114,6 +114,18 @@ def test_shared_and_unusable_items(spark):
         leaked_items(documents(spark, docs), items(spark, [(1, TEXT)]), min_words=3)
 
 
+@pytest.mark.parametrize("n", [3, 4, 40])
+def test_a_passage_shared_by_many_items(spark, n):
+    short = "it was by far the best of all they had in the old inn".split()
+    its = [(i, " ".join([*sentence(50 + i, 12), *short, *ITEM[:16], *sentence(150 + i, 12)])) for i in range(n)]
+    damaged = " ".join(ITEM[:16])
+    middle = len(damaged) // 2
+    damaged = f"{damaged[:middle]}q{damaged[middle + 1 :]}"
+    docs = [(1, around(" ".join([*short, *ITEM[:1]]))), (2, around(damaged)), (3, around(" ".join(ITEM[:13])))]
+    # a page of short words, one of a damaged letter, one of too few words
+    assert leaks(spark, docs, its) == [(d, i) for d in (1, 2) for i in range(n)]
+
+
 def test_a_very_long_page_is_searched_to_its_end(spark):
     rng = random.Random(5)
     assert leaks(spark, [(1, page(prose(rng, 200_000)) + "\n" + TEXT)], [(5, TEXT)]) == [(1, 5)]
