@@ -286,6 +286,13 @@ def column_reports(spark, d):
     return r.where("example IS NULL").select("column", "n_null", "min", "max")
 
 
+def column_reports_whole(spark, d):
+    """Every column, and every part of the report; of an example, which may be any value, whether there is one."""
+    r = column_report(_read(spark, d, "dp1_objects"))
+    mean = F.format_string("%.9e", "mean")
+    return r.select("column", "type", "n_null", "min", "max", F.when(F.col("mean").isNotNull(), mean).cast("double").alias("mean"), F.col("example").isNotNull().alias("shown"))
+
+
 def best_of_cells(spark, d):
     """The best-scoring order of each cell at order 2, with the cell's count."""
     o = orders_sky(spark, d).withColumn(cv.CELL, parent(F.col("deep"), DEEPEST - 2))
@@ -335,5 +342,6 @@ QUERIES = {
         allsky_rows,
         tile_paths,
         column_reports,
+        column_reports_whole,
     )
 }

@@ -67,3 +67,13 @@ def test_reports(spark):
     assert got == {"i": ("int", 1, 1.0, 3.0, 2.0, None), "d": ("double", 1, 4.0, 6.0, 5.0, None), "s": ("string", 2, None, None, None, "x"), "a": ("array<int>", 2, None, None, None, "[1]")}
     assert column_report(df.limit(0)).count() == 4
     assert sampled_column_report(df, 2).count() == 4
+
+
+def test_whole_report_covers_every_column(spark):
+    from skyloom.plans.registry import column_reports_whole
+
+    folder = "/root/testdata/sf0.001"
+    names = spark.read.parquet(f"{folder}/dp1_objects.parquet").columns
+    got = {r["column"]: r for r in column_reports_whole(spark, folder).collect()}
+    assert sorted(got) == sorted(names)
+    assert {c for c in got if got[c]["shown"]} == {c for c in got if got[c]["type"] in ("boolean", "timestamp")}
