@@ -6,17 +6,20 @@ whole interposed lines (adverts, headings, lines of another column) are joined.
 ``min_words`` consecutive words of it.
 
 All items share one set of windows: a window is found once, however many items hold it, and items of equal letters are compared once.
+One exact window is enough for a page and an item to be looked at: the pieces around all hits are made for all items at once, and only
+where pieces that may continue each other span ``min_words`` words are page and item compared letter by letter.
 
-Only the items (a stated set, searched in blocks of at most MAX_ITEMS) travel to the tasks; pages are read once per block, never
-shuffled or sent to the driver, and never cut.
+Only the items (a stated set, searched in blocks of about BLOCK_LETTERS letters) travel to the tasks; pages are read once per block, never
+shuffled or sent to the driver, and never cut. Blocks change nothing: stock instructions are counted over the whole set.
 """
 
 from __future__ import annotations
 
 import bisect
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +29,10 @@ from pyspark.sql import functions as F
 from skyloom.functions.numeric import column
 from skyloom.llm.letters import Letters, reading_order, to_letters
 from skyloom.llm.wumanber import WINDOW, WuManber
-from skyloom.runtime import ship_package, spread
+from skyloom.runtime import materialize, ship_package, spread
 
-MAX_ITEMS = 20_000
+#: Letters of items searched at once (a longer item is a block of its own): their tables take some 30 bytes a letter in every worker.
+BLOCK_LETTERS = 2_000_000
 MIN_WORDS = 15
 #: A first sentence standing in so many items is a stock instruction.
 STOCK_ITEMS = 3
@@ -36,8 +40,10 @@ STOCK_ITEMS = 3
 CHUNK_UNITS = 4_000_000
 #: Letters of no item between two items.
 EDGE = 64
-#: Exact letters after which a stretch is compared in full.
-LONG_RUN = 40
+#: A page and an item with more pieces are compared in full at once, without looking at the pieces' links first.
+MANY_PIECES = 64
+#: Possible links between pieces looked at together.
+LINKS_AT_ONCE = 16_000_000
 #: Places of windows in items looked at together (or one page's, if it has more).
 PLACES_AT_ONCE = 4_000_000
 #: Letters: drift inside a piece; damaged letters between two pieces of a line; letters lost around an interposed line; distance from a
@@ -52,14 +58,14 @@ _WORD = re.compile(r"[^\W_]+")
 class Items:
     """Items prepared for the search: letters, the word of each letter, windows. ``ids[i]``: all items that read as text i."""
 
-    def __init__(self, rows: list[tuple[int, str]], stock: frozenset[str] = frozenset()) -> None:
+    def __init__(self, rows: list[tuple[int, str]]) -> None:
         self.ids: list[list[int]] = []
         self.letters, self.word = [], []
         same: dict[tuple[bytes, bytes], int] = {}
         for item_id, text in rows:
             if item_id is None or not text:
                 continue
-            words = _WORD.findall(without_stock(text, stock))
+            words = _WORD.findall(text)
             if not words:
                 continue
             # all words in one stream, so that pairs of letters merge as they do on pages
@@ -91,6 +97,8 @@ class Items:
         sizes = np.array([len(c) for c in self.letters], np.int64)
         self.begin = np.cumsum([EDGE, *(sizes + EDGE)])[:-1]
         self.end = self.begin + sizes
+        self.fours = _fours(self.all)
+        self.longest = int(sizes.max(initial=0))
 
 
 def _sentence(text: str) -> str:
@@ -98,16 +106,7 @@ def _sentence(text: str) -> str:
     return " ".join(_WORD.findall(head.lower()))
 
 
-def stock_sentences(texts: list[str], at_least: int = STOCK_ITEMS) -> frozenset[str]:
-    """First sentences that stand in front of at least so many different items."""
-    heads = Counter(_sentence(t) for t in {t for t in texts if t})
-    return frozenset(h for h, n in heads.items() if len(h.split()) >= STOCK_WORDS and n >= at_least)
-
-
-def without_stock(text: str, stock: frozenset[str]) -> str:
-    """``text`` without the stock instruction it begins with, if any."""
-    if _sentence(text) not in stock:
-        return text
+def without_first_sentence(text: str) -> str:
     parts = re.split(r"(?<=[.!?:])\s|\n", text.strip(), maxsplit=1)
     return parts[1] if len(parts) > 1 else ""
 
@@ -176,19 +175,32 @@ def _words_covered(pieces: list[tuple[int, int, int, int]], s: bytes, t: bytes,
         return q - line_first[k] <= AT_EDGE or line_last[k] + 1 - q <= AT_EDGE
 
     best = 0
-    state: list[tuple[int, int, int, int]] = []  # page end, item start of the whole run, item end, piece's item start
+    recent: list[tuple[int, int, int, int]] = []  # page end, item start of the whole run, item end, piece's item start
+    far: dict[tuple[int, int], int] = {}  # runs that only go on across interposed lines: (piece's item start, item end) -> item start of the run
     for q0, q1, p0, p1 in pieces:
         begin = p0
         at_start = _at_break(q0)
-        for e, b, d, own in state:
+        near = []
+        for run in recent:
+            e, b, d, own = run
             missing, between = p0 - d, q0 - e  # item letters and page letters between the two pieces
+            if between > DAMAGED + LOST:
+                if _at_break(e):
+                    far[own, d] = min(b, far.get((own, d), b))
+                continue
+            near.append(run)
             if b >= begin or p1 <= d or p0 <= own or missing > DAMAGED or between < missing - LOST:
                 continue
-            if between <= max(missing, 0) + LOST if missing <= 0 or between <= 0 else between <= DAMAGED + LOST and _alike(s[e:q0], t[d:p0]):
+            if between <= max(missing, 0) + LOST if missing <= 0 or between <= 0 else _alike(s[e:q0], t[d:p0]):
                 begin = b
             elif missing <= LOST and at_start and _at_break(e):
                 begin = b
-        state.append((q1, begin, p1, p0))
+        recent = near
+        if at_start:
+            for (own, d), b in far.items():
+                if b < begin and d < p1 and own < p0 and p0 - d <= LOST:
+                    begin = b
+        recent.append((q1, begin, p1, p0))
         best = max(best, _whole_words(begin, p1, word))
     return best
 
@@ -204,11 +216,8 @@ def _whole_words(p0: int, p1: int, word: np.ndarray) -> int:
     return max(n, 0)
 
 
-def search_pages(pages: list[str], items: Items, least: int = 4, min_words: int = 1) -> Iterator[tuple[int, int, int]]:
-    """(index of page, index of item, words covered) for every page and item with at least ``least`` exact pieces on the page.
-
-    Left out are pairs that can't reach ``min_words``.
-    """
+def search_pages(pages: list[str], items: Items, min_words: int = 1) -> Iterator[tuple[int, int, int]]:
+    """(index of page, index of item, words covered) for every page and item that share an exact piece and may reach ``min_words``."""
     letters = to_letters(pages)
     start, pattern = items.search.search(letters.codes)
     inside = letters.text[start] == letters.text[np.minimum(start + WINDOW - 1, len(letters.text) - 1)] if len(start) else np.empty(0, bool)
@@ -217,9 +226,9 @@ def search_pages(pages: list[str], items: Items, least: int = 4, min_words: int
         return
     order = np.argsort(start, kind="stable")
     start, pattern = start[order], pattern[order]
-    newline = np.cumsum(letters.units == 10)
+    looks = _Looks(letters, items)
     for a, b in _runs(letters.text[start], items.first[pattern + 1] - items.first[pattern]):
-        yield from _found(letters, newline, items, start[a:b], pattern[a:b], least, min_words)
+        yield from _found(looks, start[a:b], pattern[a:b], min_words)
 
 
 def _runs(page: np.ndarray, many: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -233,85 +242,175 @@ def _runs(page: np.ndarray, many: np.ndarray) -> Iterator[tuple[int, int]]:
             a, done = b, int(sums[k])
 
 
-def _side(s: np.ndarray, t: np.ndarray, q: np.ndarray, p: np.ndarray, way: int) -> tuple[np.ndarray, np.ndarray]:
-    """What _extend finds at most: exactly alike letters from q and p on, and whether it may go on after them."""
-    run, active = np.zeros(len(q), np.int64), np.arange(len(q))
-    last = len(s) - 1
-    for k in range(LONG_RUN):
-        a = q[active] + way * k
-        active = active[(a >= 0) & (a <= last) & (s[np.clip(a, 0, last)] == t[p[active] + way * k])]
-        run[active] = k + 1
-    more = run == LONG_RUN
-    for dq, dp in _STEPS:
-        same = np.ones(len(q), bool)
-        for k in range(4):
-            same &= s[np.clip(q + way * (run + dq + k), 0, last)] == t[p + way * (run + dp + k)]
-        more |= same
-    return run, more
-
-
-def _hopeful(s: np.ndarray, items: Items, q: np.ndarray, item: np.ndarray, p: np.ndarray, pair: np.ndarray, min_words: int) -> np.ndarray:
-    """Of hits sorted by pair, those that let their pair reach ``min_words``; a pair without any can't.
-
-    A hit that may go on beyond its exactly alike letters does. All others are pieces of known ends; pieces that continue each other miss
-    at most DAMAGED item letters in between, so the words from the first to the last of such a row are the most they can cover.
+def _fours(codes: np.ndarray) -> np.ndarray:
+    """At each letter the code of it and the three after it; NOTHING's places in front and behind match no letters of the other side."""
+    wide = codes.astype(np.int32)
+    out = wide.copy()
+    for k in range(1, 4):
+        out[:-k] |= wide[k:] << (8 * k)
+    return out
+
+
+class _Looks:
+    """The pages and items as arrays with margins, so that looking a little beyond an end is no error and finds nothing alike."""
+
+    def __init__(self, letters: Letters, items: Items) -> None:
+        self.letters, self.items = letters, items
+        self.s = np.concatenate([np.zeros(EDGE, np.uint8), letters.codes, np.zeros(EDGE, np.uint8)])
+        self.s4, self.t4 = _fours(self.s), items.fours
+        line = np.cumsum(letters.units == 10)[letters.unit]
+        new = np.ones(len(line), bool)
+        new[1:] = (np.diff(line) > 0) | (np.diff(letters.text) > 0)
+        self.line_start = np.append(np.flatnonzero(new), len(line))  # first letter of each line that has any
+
+    def extend(self, q: np.ndarray, p: np.ndarray, way: int) -> tuple[np.ndarray, np.ndarray]:
+        """_extend for many places at once: one past the last alike letters, or one before the first. May run on into the next page."""
+        q, p = q + EDGE, p.copy()
+        s, t, s4, t4 = self.s, self.items.all, self.s4, self.t4
+        back = 0 if way > 0 else 3
+        active = np.arange(len(q))
+        while len(active):
+            a, b = q[active], p[active]
+            going = np.arange(len(active))
+            x, y = a, b
+            while len(going):  # exactly alike letters
+                alike = s[x] == t[y]
+                a[going], b[going] = x, y
+                going, x, y = going[alike], x[alike] + way, y[alike] + way
+            on = np.zeros(len(active), bool)
+            for dq, dp in _STEPS:
+                left = np.flatnonzero(~on)
+                x, y = a[left] + way * dq, b[left] + way * dp
+                hit = s4[x - back] == t4[y - back]
+                left = left[hit]
+                a[left], b[left], on[left] = x[hit], y[hit], True
+            q[active], p[active] = a, b
+            active = active[on]
+        return q - EDGE, p
+
+    def at_break(self, q: np.ndarray) -> np.ndarray:
+        """Whether a line ends or begins within AT_EDGE letters."""
+        k = np.clip(np.searchsorted(self.line_start, q, side="right") - 1, 0, len(self.line_start) - 2)
+        return (q - self.line_start[k] <= AT_EDGE) | (self.line_start[k + 1] - q <= AT_EDGE)
+
+
+def _packed_keys(pair: np.ndarray, diagonal: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, int, int] | None:
+    """One sortable number each, and the bits of its two lower parts; None if 63 bits don't do."""
+    low, mid = int(p.max()).bit_length(), int(diagonal.max()).bit_length()
+    if int(pair.max()).bit_length() + mid + low > 63:
+        return None
+    return (pair << (mid + low)) | (diagonal << low) | p, mid, low
+
+
+def _found(looks: _Looks, start: np.ndarray, pattern: np.ndarray, min_words: int) -> Iterator[tuple[int, int, int]]:
+    """What search_pages gives, from all hits of some pages.
+
+    Hits become maximal pieces, all at once; pieces that may continue each other are linked, and only a page and an item whose linked
+    pieces span ``min_words`` words are compared letter by letter. The links leave out nothing that _words_covered would join.
     """
-    if not len(q):
-        return np.zeros(0, bool)
-    t, begin, end = items.all, items.begin[item], items.end[item]
-    p = p + begin
-    ahead, on = _side(s, t, q + WINDOW, p + WINDOW, 1)
-    back, off = _side(s, t, q - 1, p - 1, -1)
-    c, d = p - back, p + WINDOW + ahead
-    # near an item's ends fewer alike letters are enough to go on
-    more = on | off | ((d < end) & (end - d < 6)) | ((c > begin) & (c - begin < 6))
-    order = np.lexsort((c, pair))
-    c, d = c[order], d[order]
-    new = np.diff(pair, prepend=-1) != 0  # the same order of pairs as before
-    far = (np.cumsum(new) - 1) * (len(t) + 1)
-    reach = np.maximum.accumulate(d + far) - far
-    cut = new.copy()
-    cut[1:] |= c[1:] - reach[:-1] > DAMAGED
-    first = np.flatnonzero(cut)
-    final = np.append(first[1:], len(c)) - 1
-    words = items.all_words[reach[final] - 1] - items.all_words[c[first]] + 1
-    more[order] |= np.repeat(words >= min_words, final - first + 1)
-    return more
-
-
-def _found(letters: Letters, newline: np.ndarray, items: Items, start: np.ndarray, pattern: np.ndarray, least: int, min_words: int) -> Iterator[tuple[int, int, int]]:
-    """What search_pages gives, from all hits of some pages."""
+    letters, items = looks.letters, looks.items
     many = items.first[pattern + 1] - items.first[pattern]
     which = items.first[pattern].repeat(many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    q, item, p = start.repeat(many), items.item[which], items.place[which]
-    page = letters.text[q].astype(np.int64)
-    pair = page * (len(items.ids) + 1) + item
-    order = np.lexsort((q, pair))
-    q, item, p, page, pair = q[order], item[order], p[order], page[order], pair[order]
-    edge = np.flatnonzero(np.diff(pair, prepend=-1))
-    ends = np.append(edge[1:], len(pair))
-    enough = ends - edge >= least
-    held = np.repeat(enough, ends - edge)
-    hope = np.zeros(len(pair), bool)
-    hope[held] = _hopeful(letters.codes, items, q[held], item[held], p[held], pair[held], min_words)
-    enough &= np.logical_or.reduceat(hope, edge)
+    page = letters.text[start].astype(np.int64)
+    first_page, n_items = int(page[0]), len(items.ids)
+    item, p = items.item[which], items.place[which]
+    pair = (page - first_page).repeat(many) * n_items + item
+    # the diagonal: where on the page the item would begin
+    diagonal = (start - letters.starts[page]).repeat(many) - p + items.longest
+    packed = _packed_keys(pair, diagonal, p)
+    if packed is None:
+        half = int(np.searchsorted(page, (page[0] + page[-1] + 1) // 2))
+        if half in (0, len(page)):
+            raise ValueError("a page is too long to be searched for so many items")
+        yield from _found(looks, start[:half], pattern[:half], min_words)
+        yield from _found(looks, start[half:], pattern[half:], min_words)
+        return
+    keys, mid, low = packed
+    keys.sort()
+    diagonal_of, p = keys >> low, keys & ((1 << low) - 1)
+    # hits that touch on one diagonal are one run of alike letters
+    new = np.ones(len(keys), bool)
+    new[1:] = (diagonal_of[1:] != diagonal_of[:-1]) | (p[1:] - p[:-1] > WINDOW)
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(keys)) - 1
+    pair = diagonal_of[head] >> mid
+    item = pair % n_items
+    begin, end = items.begin[item], items.end[item]
+    shift = (diagonal_of[head] & ((1 << mid) - 1)) - items.longest + letters.starts[first_page + pair // n_items] - begin  # page letter - item letter
+    b, d = looks.extend(p[tail] + WINDOW + begin + shift, p[tail] + WINDOW + begin, 1)
+    a, c = looks.extend(p[head] - 1 + begin + shift, p[head] - 1 + begin, -1)
+    a, c = a + 1, c + 1
+    # near an item's ends fewer alike letters are enough to go on
+    d, c = np.where(end - d < 6, end, d), np.where(c - begin < 6, begin, c)
+    hopeful = _may_reach(looks, pair, a, b, c, d, min_words)
+    if not len(hopeful):
+        return
+    pair_of = keys >> (mid + low)
     at = -1
-    for a, b in zip(edge[enough].tolist(), ends[enough].tolist()):
-        if len(set(p[a:b].tolist())) < least:
-            continue
-        k, i = int(page[a]), int(item[a])
+    for own, f, l in zip(hopeful.tolist(), np.searchsorted(pair_of, hopeful).tolist(), np.searchsorted(pair_of, hopeful, side="right").tolist()):
+        k, i = first_page + own // n_items, own % n_items
         if k != at:
             at = k
-            low, high = int(letters.starts[k]), int(letters.starts[k + 1])
-            s = letters.codes[low:high].tobytes()
-            line = newline[letters.unit[low:high]]
-            line_of = line - line[0]
-            lines = np.arange(line_of[-1] + 1)
-            line_first, line_last = np.searchsorted(line_of, lines), np.searchsorted(line_of, lines, side="right") - 1
-        pieces = _pieces(s, items.bytes[i], list(zip((q[a:b] - low).tolist(), p[a:b].tolist())))
+            low_, high = int(letters.starts[k]), int(letters.starts[k + 1])
+            s = letters.codes[low_:high].tobytes()
+            x, y = np.searchsorted(looks.line_start, [low_, high])
+            line_start = looks.line_start[x : y + 1] - low_
+            line_of = np.repeat(np.arange(y - x), np.diff(line_start))
+            line_first, line_last = line_start[:-1], line_start[1:] - 1
+        places = p[f:l]
+        on_page = (diagonal_of[f:l] & ((1 << mid) - 1)) - items.longest + places
+        order = np.argsort(on_page, kind="stable")
+        pieces = _pieces(s, items.bytes[i], list(zip(on_page[order].tolist(), places[order].tolist())))
         yield k, i, _words_covered(pieces, s, items.bytes[i], items.word[i], line_of, line_first, line_last)
 
 
+def _parts(edge: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs in parts of about LINKS_AT_ONCE possible links."""
+    part = np.cumsum(size * size) // LINKS_AT_ONCE
+    for k in np.unique(part):
+        yield edge[part == k], size[part == k]
+
+
+def _links(looks: _Looks, edge: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): piece j may continue piece i of the same pair; pairs begin at ``edge`` and have ``size`` pieces each."""
+    n = size * size
+    wide = np.repeat(size.astype(np.int32), n)
+    at = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+    first = np.repeat(edge.astype(np.int32), n)
+    i, j = first + at // wide, first + at % wide
+    left, right = c.astype(np.int32), d.astype(np.int32)
+    following = (left[j] - right[i] <= DAMAGED) & (left[j] > left[i])
+    i, j = i[following], j[following]
+    missing, between = c[j] - d[i], a[j] - b[i]
+    linked = (d[j] > d[i]) & (between >= missing - LOST) & ((between <= DAMAGED + LOST) | (missing <= LOST))
+    i, j, near = i[linked], j[linked], between[linked] <= DAMAGED + LOST
+    near[~near] = looks.at_break(b[i[~near]]) & looks.at_break(a[j[~near]])
+    return i[near], j[near]
+
+
+def _may_reach(looks: _Looks, pair: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, min_words: int) -> np.ndarray:
+    """The pairs whose pieces (page a..b, item c..d, sorted by pair) may together cover ``min_words`` words."""
+    words = looks.items.all_words
+    span = lambda c, d: words[d - 1] - words[c] + 1
+    sure = span(c, d) >= min_words
+    reached = [pair[sure]]
+    edge = np.flatnonzero(np.diff(pair, prepend=-1))
+    size = np.diff(np.append(edge, len(pair)))
+    done = np.logical_or.reduceat(sure, edge)
+    reached.append(pair[edge[~done & (size > MANY_PIECES)]])
+    open_ = ~done & (size > 1) & (size <= MANY_PIECES)
+    links = [_links(looks, e, m, a, b, c, d) for e, m in _parts(edge[open_], size[open_])]
+    i, j = (np.concatenate(x) for x in zip(*links)) if links else (edge[:0], edge[:0])
+    begin = c.copy()
+    while len(i):
+        before = begin[j]
+        np.minimum.at(begin, j, begin[i])
+        if (begin[j] == before).all():
+            break
+    reached.append(pair[j[span(begin[j], d[j]) >= min_words]])
+    return np.unique(np.concatenate(reached))
+
+
 def _blocks(pages: list[str], limit: int) -> Iterator[tuple[int, int]]:
     begin = size = 0
     for i, text in enumerate(pages):
@@ -341,6 +440,32 @@ def _searcher(items: Items, doc_id: str, text: str, boxes: str | None, min_words
     return search
 
 
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.append_column("head", pa.array([_sentence(t) for t in batch.column("text").to_pylist()], pa.string()))
+
+
+def _prepared(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(item_id, text, stock): the distinct items, and whether the text begins with a stock instruction, counted over the whole set."""
+    clean = items.select(column(item_id).cast("long").alias("item_id"), column(item_text).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    headed = materialize(clean.mapInArrow(_heads, "item_id long, text string, head string"))
+    stock = headed.groupBy("head").agg(F.count_distinct("text").alias("n")).where((F.col("n") >= STOCK_ITEMS) & (F.size(F.split("head", " ")) >= STOCK_WORDS))
+    return headed.join(stock, "head", "left").select("item_id", "text", F.col("n").isNotNull().alias("stock"))
+
+
+def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items without their stock instructions, in blocks of about BLOCK_LETTERS; at least one block, which may be empty."""
+    block, size, n = [], 0, 0
+    for r in items.orderBy("item_id", "text").toLocalIterator():
+        block.append((r.item_id, without_first_sentence(r.text) if r.stock else r.text))
+        size += len(r.text) + EDGE
+        if size > BLOCK_LETTERS:
+            yield block
+            block, size, n = [], 0, n + 1
+    if block or not n:
+        yield block
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", boxes: str | None = "line_boxes", item_id: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id, n_words): each page holding at least ``min_words`` consecutive words of an item, and the longest such run.
 
@@ -351,14 +476,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     """
     if min_words < 5:
         raise ValueError("min_words must be at least 5")
-    clean = items.select(column(item_id).cast("long").alias("item_id"), column(item_text).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    rows = [(r.item_id, r.text) for r in clean.orderBy("item_id", "text").limit(MAX_ITEMS + 1).collect()]
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items: call once per block of items")
-    stock = stock_sentences([t for _, t in rows])
     source = documents.select(column(doc_id).alias("doc_id"), column(text).alias("text"), *([column(boxes).alias("boxes")] if boxes else []))
-    source = source.where(F.length("text") > 0)
+    source = spread(source.where(F.length("text") > 0))
     kind = documents.schema[doc_id].dataType.simpleString()
-    prepared = Items(rows, stock)
     ship_package(documents.sparkSession)
-    return spread(source).mapInArrow(_searcher(prepared, "doc_id", "text", "boxes" if boxes else None, min_words), f"doc_id {kind}, item_id long, n_words int")
+    found: list[DataFrame] = []
+    for rows in _item_blocks(_prepared(items, item_id, item_text)):
+        if found:  # one block at a time: its letters leave the driver before the next
+            found[-1] = materialize(found[-1])
+        found.append(source.mapInArrow(_searcher(Items(rows), "doc_id", "text", "boxes" if boxes else None, min_words), f"doc_id {kind}, item_id long, n_words int"))
+    return reduce(DataFrame.unionByName, found)

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom.llm.leaks import Items, leaked_items, stock_sentences, without_stock
+from skyloom.llm import leaks as lk
+from skyloom.llm.leaks import Items, _prepared, leaked_items, search_pages, without_first_sentence
 from skyloom.llm.letters import reading_order, to_letters
 from skyloom.llm.packing import _packed, best_fit_decreasing, bound_sums, lower_bound, pack, packing_report, token_counts
 from skyloom.llm.stuffing import page_curves, stuffed_pages
@@ -98,9 +99,9 @@ def test_columns_mixed_line_by_line(spark):
 def test_stock_instructions(spark):
     stock = "Read this little notice with care and answer the question below."
     its = [(i, f"{stock} {' '.join(sentence(20 + i))}") for i in range(4)]
-    assert stock_sentences([t for _, t in its] + ["Mr. Smith", "Mr. Jones", "Mr. Brown"]) == {"read this little notice with care and answer the question below"}
-    heads = stock_sentences([t for _, t in its])
-    assert without_stock(its[0][1], heads) == " ".join(sentence(20)) and without_stock("Other text. Here.", heads) == "Other text. Here."
+    marked = _prepared(items(spark, [*its, (0, its[0][1]), (10, "Mr. Smith"), (11, "Mr. Jones"), (12, "Mr. Brown"), (13, "Other text. Here.")]), "item_id", "text")
+    assert {r["item_id"] for r in marked.where("stock").collect()} == {0, 1, 2, 3}
+    assert without_first_sentence(its[0][1]) == " ".join(sentence(20)) and without_first_sentence("One only") == ""
     docs = [(1, around(stock)), (2, around(f"{stock} {' '.join(sentence(20)[:8])}")), (3, around(" ".join(sentence(22)[:20])))]
     assert leaks(spark, docs, its) == [(3, 2)]
 
@@ -126,6 +127,63 @@ def test_a_passage_shared_by_many_items(spark, n):
     assert leaks(spark, docs, its) == [(d, i) for d in (1, 2) for i in range(n)]
 
 
+def one_wrong_in(rng, text, n):
+    """``text`` with one letter in every ``n`` replaced."""
+    out = list(text)
+    for begin in range(0, len(out), n):
+        at = rng.randrange(begin, min(begin + n, len(out)))
+        if out[at] != " ":
+            out[at] = rng.choice("kvxyz")
+    return "".join(out)
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 8, 50])
+def test_damaged_passages_shared_by_items(spark, n):
+    rng = random.Random(n)
+    passage = " ".join(sentence(77, 40))
+    its = [(i, " ".join([*sentence(500 + i, 10), passage, *sentence(900 + i, 10)])) for i in range(n)]
+    docs = [(every * 100 + k, around(one_wrong_in(rng, passage, every), k)) for every in (20, 25, 30, 40, 60) for k in range(4)]
+    assert leaks(spark, docs, its) == sorted((d, i) for d, _ in docs for i in range(n))
+
+
+def test_one_exact_window_is_enough():
+    rng = random.Random(3)
+    whole = lost = 0
+    for seed in range(120):
+        words = sentence(3000 + seed, 15)
+        text = one_wrong_in(rng, " ".join(words), 24)
+        got = list(search_pages([around(text, seed)], Items([(1, " ".join(words))]), min_words=10))
+        whole += 1
+        lost += not any(n >= 13 for _, _, n in got)  # a wrong letter may cost the word at either end
+    assert lost <= whole // 20
+
+
+@pytest.mark.parametrize("letters", [1, 900, 2_000_000])
+def test_items_in_blocks(spark, monkeypatch, letters):
+    monkeypatch.setattr(lk, "BLOCK_LETTERS", letters)
+    stock = "Read this little notice with care and answer the question below."
+    its = [(i, f"{stock} {' '.join(sentence(20 + i))}") for i in range(4)] + [(9, TEXT)]
+    docs = [(1, around(f"{stock} {' '.join(sentence(20)[:8])}")), (2, around(TEXT)), (3, around(" ".join(sentence(22)[:20])))]
+    assert leaks(spark, docs, its) == [(2, 9), (3, 2)]
+
+
+def test_links_in_parts_change_nothing(monkeypatch):
+    text = page(" ".join(w for k in range(40) for w in (*ITEM[k % 20 : k % 20 + 4], "odd")) + " " + TEXT)
+    its = Items([(1, TEXT), (2, " ".join(reversed(ITEM)))])
+    want = list(search_pages([text, TEXT, ""], its, min_words=15))
+    assert [(k, i) for k, i, n in want if n >= 15] == [(0, 0), (1, 0)]
+    for at_once, many in ((1, 64), (50, 64), (16_000_000, 1)):
+        monkeypatch.setattr(lk, "LINKS_AT_ONCE", at_once)
+        monkeypatch.setattr(lk, "MANY_PIECES", many)
+        got = list(search_pages([text, TEXT, ""], its, min_words=15))
+        assert [x for x in got if x[2] >= 15] == [x for x in want if x[2] >= 15]
+
+
+def test_a_page_repeating_a_phrase_of_an_item_ends_soon():
+    text = "\n".join(" ".join(ITEM[5:9]) for _ in range(20_000)) + "\n" + TEXT
+    assert [n for _, _, n in search_pages([text], Items([(1, TEXT)]), min_words=15)] == [30]
+
+
 def test_a_very_long_page_is_searched_to_its_end(spark):
     rng = random.Random(5)
     assert leaks(spark, [(1, page(prose(rng, 200_000)) + "\n" + TEXT)], [(5, TEXT)]) == [(1, 5)]
@@ -323,3 +381,10 @@ def test_token_counts(spark):
     docs = documents(spark, [(1, "the ferry crossed the harbour"), (2, None), (3, ""), (None, "x" * 100_000), (4, "<|endoftext|>")])
     got = {r["doc_id"]: r["tokens"] for r in token_counts(docs).collect()}
     assert got[2] == got[3] == 0 and got[1] >= 5 and got[None] > 100 and got[4] > 1
+
+
+def test_thousands_of_items(spark):
+    its = [(i, " ".join(sentence(i, 18))) for i in range(25_000)]
+    docs = [(k, around(its[k * 1000][1])) for k in range(25)]
+    found = leaks(spark, docs, its)
+    assert set(found) >= {(k, k * 1000) for k in range(25)}
