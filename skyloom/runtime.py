@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,13 +58,31 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     Unlike an RDD checkpoint the plan runs once and later reads keep column pruning and filter pushdown.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/skyloom-tables/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    _scratch.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new name in the shared folder; what is written there is deleted at the end of the surrounding scratch(), else of the process."""
+    path = f"{shared_dir(spark).rstrip('/')}/skyloom-tables/{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes the tables written inside when it ends; results needed longer must be written elsewhere before."""
+    before = len(_scratch)
+    try:
+        yield
+    finally:
+        done = _scratch[before:]
+        del _scratch[before:]
+        _delete(done)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package wherever they run: its files go along with the application, once a context."""
     context = spark.sparkContext
@@ -90,7 +110,11 @@ def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 @atexit.register
 def _sweep() -> None:
-    for spark, path in _scratch:
+    _delete(_scratch)
+
+
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

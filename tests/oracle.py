@@ -21,7 +21,9 @@ def plain(value):
     if value is None:
         return "~"
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else repr(value + 0.0)
+        # no result may hold a NaN: comparisons elsewhere don't take NaN for equal to NaN
+        assert not math.isnan(value)
+        return repr(value + 0.0)
     return str(value)
 
 
