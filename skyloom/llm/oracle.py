@@ -23,6 +23,10 @@ def _philox(seed: int, table: str) -> str:
     return ", ".join(steps) + ", drawn AS (SELECT id, epoch, CAST(a AS BIGINT) AS u FROM r10)"
 
 
+def _finite(name: str) -> str:
+    return f"CASE WHEN isfinite({name}) THEN {name} END AS {name}"
+
+
 def _sample(table: str, identifier: str, batch: str, columns: str) -> str:
     return f"""
 WITH ids AS (SELECT {identifier} AS id, CAST(min({batch}) AS INTEGER) AS epoch FROM {table} WHERE {identifier} IS NOT NULL GROUP BY 1),
@@ -54,8 +58,8 @@ SELECT field_name, probability, n, (floor(x / CAST(0.01 AS DOUBLE)) + 0.5) * CAS
 FROM s, p WHERE i = greatest(1, CAST(ceil(probability * n) AS BIGINT))"""
 
 SQL = {
-    "p3_sample_objects": _sample("dp1_objects", "objectid", "ingest_batch", "record_id, objectid, coord_ra, coord_dec, ingest_batch"),
-    "p3_sample_sources": _sample("des_sources", "coadd_object_id", "load_batch", "coadd_object_id, ra, dec, load_batch"),
+    "p3_sample_objects": _sample("dp1_objects", "objectid", "ingest_batch", f"record_id, objectid, {_finite('coord_ra')}, {_finite('coord_dec')}, ingest_batch"),
+    "p3_sample_sources": _sample("des_sources", "coadd_object_id", "load_batch", f"coadd_object_id, {_finite('ra')}, {_finite('dec')}, load_batch"),
     "p6_by_field": _percentiles("field_name", "mag_r"),
     "p6_by_night": _percentiles("night", "mag_r"),
     "p6_g_by_field_night": _percentiles("field_name, night", "mag_g"),

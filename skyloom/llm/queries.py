@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.functions.numeric import finite_or_null
 from skyloom.llm.cutoff import fraction_cutoffs, keep_fraction
 from skyloom.llm.leaks import leaked_items
 from skyloom.llm.packing import pack, packing_report, token_counts
 from skyloom.llm.percentiles import add_up, from_ladder, ladder, magnitude, percentiles
-from skyloom.llm.sample import new_entries, sampled
+from skyloom.llm.sample import register, sampled
 from skyloom.llm.stuffing import stuffed_pages
 from skyloom.llm.topn import top_n
-from skyloom.runtime import materialize
+from skyloom.runtime import materialize, scratch_path
 
 SCORE, CELL = "i_cmodelmag_dered", "__icov__"
 
@@ -49,19 +50,21 @@ RATES, LATER = {1: 0.2, 2: 0.2, 3: 0.1, 4: 0.1}, 0.05
 
 def _sample(rows: DataFrame, identifier: str, batch: str) -> DataFrame:
     """Two deliveries, as they would come: the first batches are registered, later ones only add to the registry."""
-    first = materialize(new_entries(rows.where(F.col(batch) <= 4), identifier, batch, RATES, LATER))
-    more = materialize(new_entries(rows, identifier, batch, RATES, LATER, first))
-    return sampled(rows, identifier, first.unionByName(more), SEED)
+    registry = scratch_path(rows.sparkSession)
+    register(rows.where(F.col(batch) <= 4), identifier, batch, RATES, LATER, registry)
+    return sampled(rows, identifier, register(rows, identifier, batch, RATES, LATER, registry), SEED)
 
 
 def p3_sample_objects(spark: SparkSession, d: str) -> DataFrame:
-    objects = _read(spark, d, "dp1_objects").select("record_id", "objectid", "coord_ra", "coord_dec", "ingest_batch")
-    return _sample(objects, "objectid", "ingest_batch")
+    """The picked rows; a coordinate that is no finite number is NULL."""
+    place = [finite_or_null(F.col(c)).alias(c) for c in ("coord_ra", "coord_dec")]
+    return _sample(_read(spark, d, "dp1_objects").select("record_id", "objectid", *place, "ingest_batch"), "objectid", "ingest_batch")
 
 
 def p3_sample_sources(spark: SparkSession, d: str) -> DataFrame:
-    sources = _read(spark, d, "des_sources").select("coadd_object_id", "ra", "dec", "load_batch")
-    return _sample(sources, "coadd_object_id", "load_batch")
+    """The picked rows; a coordinate that is no finite number is NULL."""
+    place = [finite_or_null(F.col(c)).alias(c) for c in ("ra", "dec")]
+    return _sample(_read(spark, d, "des_sources").select("coadd_object_id", *place, "load_batch"), "coadd_object_id", "load_batch")
 
 
 PROBABILITIES = (0.05, 0.25, 0.5, 0.75, 0.95)

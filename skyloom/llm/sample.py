@@ -3,11 +3,13 @@
 Epoch-rate selection: a registry holds, for every identifier, the epoch in which it was first seen and that epoch's rate, frozen. An
 identifier is picked if its draw, a counter-based random number (Philox 2x32-10 keyed by the seed, the identifier being the counter), falls
 below its frozen rate. Rates of later epochs may differ; nothing picked is ever given up, and repeated rows share their identifier's fate.
+
+The registry lasts in a folder the caller names: ``register`` appends what a delivery brings, ``load_registry`` reads it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions.numeric import column, quoted
@@ -64,3 +66,28 @@ def sampled(rows: DataFrame, identifier: str, registry: DataFrame, seed: int) ->
     """
     picked = registry.where(draw(F.col("id"), seed) < F.floor(F.col("rate") * float(1 << 32))).select(F.col("id").alias("_picked"))
     return rows.join(picked, rows[quoted(identifier)].cast("long") == picked["_picked"], "left_semi")
+
+
+REGISTRY = "id long, epoch int, rate double"
+
+
+def load_registry(spark: SparkSession, path: str) -> DataFrame:
+    """(id, epoch, rate) of the registry in folder ``path``, one row an identifier; empty where no folder is.
+
+    Two deliveries registered at the same time may both have brought an identifier: its earliest epoch and its highest rate count, so
+    nothing picked from either is given up.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], REGISTRY)
+    return spark.read.schema(REGISTRY).parquet(path).groupBy("id").agg(F.min("epoch").alias("epoch"), F.max("rate").alias("rate"))
+
+
+def register(rows: DataFrame, identifier: str, epoch: str, rates: dict[int, float], default_rate: float, path: str) -> DataFrame:
+    """Append the identifiers of ``rows`` not yet registered to the registry in folder ``path``; the registry as it is then.
+
+    Nothing already there changes, so a delivery registered twice, or again after a failure, adds only what is missing.
+    """
+    spark = rows.sparkSession
+    new_entries(rows, identifier, epoch, rates, default_rate, load_registry(spark, path)).write.mode("append").parquet(path)
+    return load_registry(spark, path)

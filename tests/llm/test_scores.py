@@ -1,12 +1,15 @@
 import math
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from skyloom.llm.cutoff import fraction_cutoffs, keep_fraction
 from skyloom.llm.percentiles import add_up, from_ladder, ladder, magnitude, percentiles
-from skyloom.llm.sample import draw, new_entries, sampled
+from skyloom.llm.sample import draw, load_registry, new_entries, register, sampled
 from skyloom.llm.topn import top_n
 
 NAN, INF = float("nan"), float("inf")
@@ -121,6 +124,34 @@ def test_sample_grows_without_giving_up_picks(spark):
         new_entries(df, "key", "batch", {1: 1.5}, 0.1)
 
 
+FIRST_DELIVERY = """
+from pyspark.sql import SparkSession
+from skyloom.llm.sample import register
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+rows = spark.createDataFrame([(i, 1) for i in range(500)] + [(i, 2) for i in range(400, 600)], "key long, batch int")
+print("registered", register(rows, "key", "batch", {1: 0.5}, 0.25, __import__("sys").argv[1]).count())
+"""
+
+
+def test_a_registry_lasts_from_process_to_process(spark, tmp_path):
+    path = f"file://{tmp_path}/registry"
+    assert load_registry(spark, path).count() == 0
+    done = subprocess.run([sys.executable, "-c", FIRST_DELIVERY, path], capture_output=True, text=True, cwd=Path(__file__).parents[2], timeout=300)
+    assert "registered 600" in done.stdout, done.stderr[-2000:]
+    early = {r["id"] for r in load_registry(spark, path).where("rate = 0.5").collect()}
+    assert early == set(range(500))
+    rows = spark.createDataFrame([(i, 1 + i // 500) for i in range(900)] + [(None, 1), (7, None)], "key long, batch int")
+    before = {r["key"] for r in sampled(rows.where("key < 600"), "key", load_registry(spark, path), 5).collect()}
+    later = register(rows, "key", "batch", {1: 0.0, 2: 1.0}, 1.0, path)  # other rates now: old entries keep theirs
+    kept = {r["key"] for r in sampled(rows, "key", later, 5).collect()}
+    assert later.count() == 900 and before and before <= kept and set(range(600, 900)) <= kept
+    assert kept & set(range(600)) == before
+    assert register(rows, "key", "batch", {}, 0.0, path).count() == 900 and spark.read.parquet(path).count() == 900
+    # two deliveries at once registered the same identifier
+    spark.createDataFrame([(5000, 1, 0.1), (5000, 2, 0.9)], "id long, epoch int, rate double").write.mode("append").parquet(path)
+    assert tuple(load_registry(spark, path).where("id = 5000").first()) == (5000, 1, 0.9)
+
+
 @pytest.mark.parametrize(
     "text, value",
     [("20.261", 20.261), (" 18.875 ", 18.875), ("+19.2", 19.2), ("19.34mag", 19.34), ("19.34 MAG", 19.34), ("17,44", 17.44), ("021.30", 21.3), ("2.134e+01", 21.34), ("-1.5", -1.5), (".5", 0.5), ("5.", 5.0)]
