@@ -9,7 +9,8 @@ from skyloom.llm import leaks as lk
 from skyloom.llm.leaks import Items, _prepared, leaked_items, search_pages, without_first_sentence
 from skyloom.llm.letters import reading_order, to_letters
 from skyloom.llm.packing import _packed, best_fit_decreasing, bound_sums, lower_bound, pack, packing_report, token_counts
-from skyloom.llm.stuffing import page_curves, stuffed_pages
+from skyloom.llm.stuffing import flagged, page_curves, stuffed_pages
+from skyloom.llm.wordstream import ADDRESS, NUMBER, TAG, to_words
 from skyloom.llm.wumanber import WINDOW, WuManber
 
 WORDS = "tenant harbour weaver signal crossed before gentle market quiet lantern ferry copper bridge orchard window planted thunder clever journey captain barrel meadow".split()
@@ -289,6 +290,59 @@ def test_curves(spark):
     assert by[2]["slope"] == 0.0 and by[2]["residual"] == 0.0 and by[3]["n_words"] == 1
 
 
+def test_words_of_pages():
+    w = to_words(["Bell be1l BELL béll barn bam a", None, "see http://a.b/c, (www.x.example) hosts.test #tea 8.15 6d c0rset", " \n\n* *\n12\nend.The next", "x" * 3000 + " " + "x" * 2999 + "y", "ничто Ничто"])
+    page = [w.word[a:b].tolist() for a, b in zip(w.starts, w.starts[1:])]
+    assert len(set(page[0][:4])) == 1 and page[0][4] == page[0][5] and len(page[0]) == 6
+    assert page[1] == []
+    assert page[2][1:3] == [ADDRESS, ADDRESS] and page[2][3] == ADDRESS and page[2][4] == TAG and page[2][6:9] == [NUMBER] * 3 and page[2][9] not in (NUMBER, ADDRESS)
+    assert w.lines.tolist() == [1, 0, 1, 3, 1, 1] and ADDRESS not in page[3] and page[3][0] == NUMBER
+    assert page[4][0] != page[4][1] and page[5][0] == page[5][1]
+    assert w.line[w.starts[3] :][:2].tolist() == [3, 4]  # lines of spaces are left out, those without words are not
+    assert to_words([]).word.size == 0 and to_words([None, ""]).lines.tolist() == [0, 0]
+
+
+def test_the_curves_alone_tell_stuffed_pages_from_prose(spark):
+    rng = random.Random(2)
+    listing = lambda: "\n".join(f"ARRIVED. {rng.choice(WORDS).title()}{k} Maid, salt, from {rng.choice(WORDS).title()}{k}" for k in range(30))
+    rows = [*spam_and_prose(), *[(3000 + k, listing()) for k in range(25)]]
+    judged = {r["doc_id"]: r for r in flagged(page_curves(documents(spark, rows), half=True)).collect()}
+    # a kind of listing that is part of the language's rates is ordinary
+    assert {i for i, r in judged.items() if r["flag"]} == {1000, 1001, 1002, 1003}
+    assert all(judged[1000 + k]["divergence"] > judged[2000]["divergence"] for k in range(4))
+
+
+def test_a_page_half_of_prose(spark):
+    rows = spam_and_prose()
+    prose = rows[3][1].split("\n")
+    tags = dict(rows)[1002].split("\n")
+    mixed = lambda n: "\n".join(x for pair in zip(prose[:10], tags[:10]) for x in pair) + "\n" + "\n".join(tags[10 : 10 + n])
+    got = {r["doc_id"] for r in stuffed_pages(documents(spark, [*rows, (7000, mixed(0)), (7001, mixed(4))])).collect()}
+    assert got == {1000, 1001, 1002, 1003, 7001}
+
+
+@pytest.mark.parametrize("n", [6, 90])
+def test_pages_of_a_small_language(spark, n):
+    shift = str.maketrans("abcdefghijklmnopqrstuvwxyz", "nopqrstuvwxyzabcdefghijklm")
+    rows = spam_and_prose()
+    strange = [(8000 + k, rows[k][1].translate(shift)) for k in range(n)]
+    keys = (8900, dict(rows)[1000].translate(shift))
+    df = documents(spark, [*rows, *strange, keys]).withColumn("lang", F.when(F.col("doc_id") >= 8000, "xx").otherwise(F.col("lang")))
+    assert {r["doc_id"] for r in stuffed_pages(df).collect()} == {1000, 1001, 1002, 1003, 8900}
+
+
+def test_many_stuffed_pages_do_not_hide_each_other(spark):
+    rows = spam_and_prose()
+    rng = random.Random(5)
+    goods = [f"{a}{b}" for a in ("boot", "lamp", "soap", "ton", "curt", "mang", "kett", "pian") for b in ("le", "ic", "ain", "o")]
+    many = []
+    for k in range(90):
+        keys = rng.sample(goods, 4)
+        many.append((6000 + k, "\n".join(" ".join(rng.choice(keys) for _ in range(5)) for _ in range(30))))
+    got = {r["doc_id"] for r in stuffed_pages(documents(spark, [*rows, *many])).collect()}
+    assert got == {1000, 1001, 1002, 1003, *range(6000, 6090)}
+
+
 def exact(sizes, capacity):
     """Fewest containers, by trying."""
     best = len(sizes)
