@@ -37,15 +37,15 @@ MIN_WORDS = 15
 #: A first sentence standing in so many items is a stock instruction.
 STOCK_ITEMS = 3
 #: UTF-16 units of text handled at once.
-CHUNK_UNITS = 4_000_000
+CHUNK_UNITS = 1_500_000
 #: Letters of no item between two items.
 EDGE = 64
 #: A page and an item with more pieces are compared in full at once, without looking at the pieces' links first.
 MANY_PIECES = 64
 #: Possible links between pieces looked at together.
-LINKS_AT_ONCE = 16_000_000
+LINKS_AT_ONCE = 4_000_000
 #: Places of windows in items looked at together (or one page's, if it has more).
-PLACES_AT_ONCE = 4_000_000
+PLACES_AT_ONCE = 1_500_000
 #: Letters: drift inside a piece; damaged letters between two pieces of a line; letters lost around an interposed line; distance from a
 #: line's end or start that counts as at it.
 DRIFT, DAMAGED, LOST, AT_EDGE = 3, 24, 6, 4

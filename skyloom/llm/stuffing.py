@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +45,8 @@ DEVIATIONS = 4.0
 GROUP = 30
 #: What prose looks like, for the first look at pages, before there are groups.
 USUAL = {"divergence": 0.7, "peak": 0.1}
-#: UTF-16 units of text handled at once.
-CHUNK_UNITS = 4_000_000
+#: UTF-16 units of text, and words, handled at once.
+CHUNK_UNITS, CHUNK_WORDS = 1_000_000, 300_000
 
 
 def language_key(lang: str | None) -> str:
@@ -99,6 +100,13 @@ def _stream_words(batch: pa.RecordBatch) -> Words:
     return Words(word, letters, np.repeat(np.arange(len(per_line)), per_line), np.append(0, np.cumsum(n)), lines)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about CHUNK_WORDS words."""
+    for batch in batches:
+        for a, b in _chunks(pc.binary_length(batch.column("word")).to_numpy(zero_copy_only=False) // 4, CHUNK_WORDS):
+            yield batch.slice(a, b - a)
+
+
 _COUNTS = "lang string, word int, n long"
 
 
@@ -240,7 +248,7 @@ def _list_of(classes: tuple[np.ndarray, np.ndarray, np.ndarray], keep: np.ndarra
 
 def _profiler(models: Languages):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = profiles(_stream_words(batch), _labels(batch), models)
             keep = np.flatnonzero(found["n_words"])
             cols = [_list_of(v, keep) if isinstance(v, tuple) else pa.array(v[keep], _PROFILE[k]) for k, v in found.items()]
@@ -253,7 +261,7 @@ def _outstanding(models: Languages):
     """Word counts of the pages that stand out, to be taken from all counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             words, lang = _stream_words(batch), _labels(batch)
             found = profiles(words, lang, models)
             out = (found["n_stuffed"] * 2 > found["n_lines"]) | np.logical_or.reduce([found[m] > usual + FAR[m] for m, usual in USUAL.items()])
@@ -340,18 +348,20 @@ def page_curves(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
 def flagged(curves: DataFrame) -> DataFrame:
     """``curves`` (of halves) with ``flag``: whether a measure lies far outside those of ordinary pages; NULL if there are too few of these."""
     ordinary = materialize(curves.where(F.col("n_stuffed") * 2 <= F.col("n_lines")).dropDuplicates(["text_hash"]).select("language", "length_class", *FAR))
-    middle = lambda among, by, tag: among.groupBy(*by).agg(F.count(F.lit(1)).alias(f"{tag}pages"), *[F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"{tag}{m}") for m in FAR])
+    middle = lambda among, by, tag="": among.groupBy(*by).agg(F.count(F.lit(1)).alias(f"{tag}pages"), *[F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"{tag}{m}") for m in FAR])
+    everything = middle(ordinary, []).first()
     near = ordinary.withColumn("length_class", F.explode(F.array(*[F.col("length_class") + i for i in (-1, 0, 1)])))
     # the page's own group, all languages at that length, the language at neighbouring lengths, everything: the first with enough pages counts
-    wider = (("own_", ["language", "length_class"], ordinary), ("any_", ["length_class"], ordinary), ("near_", ["language", "length_class"], near), ("all_", ["every"], ordinary.withColumn("every", F.lit(0))))
-    judged = curves.withColumn("every", F.lit(0))
+    wider = (("own_", ["language", "length_class"], ordinary), ("any_", ["length_class"], ordinary), ("near_", ["language", "length_class"], near))
+    judged = curves
     for tag, by, among in wider:
         # at most 64 length classes for each language with a model
         side = F.broadcast(middle(among, by, tag))
         judged = judged.join(side, by, "left")
     flag = F.lit(False)
     for m, far in FAR.items():
-        q = F.coalesce(*[F.when(F.col(f"{tag}pages") >= GROUP, F.col(f"{tag}{m}")) for tag, *_ in wider])
+        last = F.array(*[F.lit(x) for x in everything[m]]) if everything["pages"] >= GROUP else F.lit(None).cast("array<double>")
+        q = F.coalesce(*[F.when(F.col(f"{tag}pages") >= GROUP, F.col(f"{tag}{m}")) for tag, *_ in wider], last)
         # half the interquartile range is a median deviation
         beyond = F.greatest(DEVIATIONS * (q[2] - q[0]) / 2, F.lit(abs(far)))
         flag |= (F.col(m) - q[1] if far > 0 else q[1] - F.col(m)) > beyond
