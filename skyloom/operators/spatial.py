@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.numeric import as_double, column, is_finite
+from skyloom.runtime import materialize
 
 ARCSEC = 1.0 / 3600.0
+#: Cells of near-point searches are so many radii wide: wider ones need fewer copies of a region, narrower ones fewer comparisons.
+CELL_RADII = 4.0
 
 
 def ra_offset(ra: Column, ref: Column) -> Column:
@@ -49,62 +52,99 @@ def sky_points(rows: DataFrame, identifier: str, ra: str, dec: str) -> DataFrame
     return placed.select(column(identifier).alias("id"), F.when(turned >= 360.0, 0.0).otherwise(turned + 0.0).alias("ra"), (d + 0.0).alias("dec")).distinct()
 
 
-def points_in_regions(points: DataFrame, edges: DataFrame, height: float, width: float, pair_condition: Column | None = None) -> DataFrame:
+def _placed(points: DataFrame, height: float, width: float) -> DataFrame:
+    """(id, ra, dec, cell) of every point: strip and cell in it as one number."""
+    strip = strip_of(F.col("dec"), height)
+    return points.select("id", "ra", "dec", _cell(strip, cell_of(F.col("ra"), cells_in_strip(strip, height, width))).alias("cell"))
+
+
+def _cell(strip: Column, within: Column) -> Column:
+    return F.shiftleft(strip, 32).bitwiseOR(within)
+
+
+def _spread_over_cells(rows: DataFrame, columns: list[str], low: Column, high: Column, ref: Column, west: Column, east: Column, height: float, width: float) -> DataFrame:
+    """``columns`` of each row, and ``cell``, once for each cell between declinations low and high and RA offsets west and east from ref."""
+    strips = F.explode(F.sequence(strip_of(low, height), strip_of(high, height))).alias("_strip")
+    wide = rows.select(*columns, ref.alias("_ref"), west.alias("_west"), east.alias("_east"), strips)
+    n = cells_in_strip(F.col("_strip"), height, width)
+    first, last = (F.floor((F.col("_ref") + F.col(side)) / 360.0 * n) for side in ("_west", "_east"))
+    wide = wide.withColumn("_n", n).withColumn("_first", first).withColumn("_last", F.least(last, first + F.col("_n") - 1))
+    wide = wide.withColumn("_k", F.explode(F.sequence("_first", "_last")))
+    return wide.select(*columns, _cell(F.col("_strip"), F.pmod("_k", "_n")).alias("cell"))
+
+
+def _inside(met: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and on_boundary of the points inside their region, from points met with edges (x, y of the point; x1, y1, x2, y2).
+
+    The crossings are grouped within the cell, by which the rows are already partitioned.
+    """
+    x, y, x1, y1, x2, y2 = (F.col(c) for c in ("x", "dec", "x1", "y1", "x2", "y2"))
+    at = F.when(y2 == y1, F.greatest(x1, x2)).otherwise(x1 + (y - y1) * (x2 - x1) / F.when(y2 != y1, y2 - y1))
+    crosses = ((y1 > y) != (y2 > y)) & (x < at)
+    touches = y.between(F.least(y1, y2), F.greatest(y1, y2)) & F.when(y1 == y2, x.between(F.least(x1, x2), F.greatest(x1, x2))).otherwise(x == at)
+    met = met.withColumn("crossed", crosses.cast("int")).withColumn("touched", touches)
+    grouped = met.where((F.col("crossed") == 1) | F.col("touched")).groupBy("cell", *keys).agg(F.sum("crossed").alias("crossings"), F.max("touched").alias("on_boundary"))
+    return grouped.where((F.col("crossings") % 2 == 1) | F.col("on_boundary")).select(*keys, "on_boundary")
+
+
+def _offset_in_box() -> Column:
+    """The point's RA offset from the region's meridian; the seam -180 is also 180, so a region reaching 180 sees its own copy of the point."""
+    x = ra_offset(F.col("ra"), F.col("ref"))
+    return F.when((F.col("east") >= 180.0) & (x == -180.0), F.when(F.col("west") <= -180.0, x).otherwise(180.0)).otherwise(x)
+
+
+def points_in_regions(points: DataFrame, edges: DataFrame, height: float, width: float) -> DataFrame:
     """(id, ra, dec, region, payload columns of the region, on_boundary) of every point and region containing it.
 
     ``points``: id, ra in [0, 360), dec. ``edges``: region, ref (reference RA), x1, y1, x2, y2 (edge ends: RA offset from ref and
     declination, degrees, an edge being straight in these), west, east, south, north (the region's box in the same terms); any other
     column is payload and must be equal on all edges of a region. A region must span less than 360 degrees unless its box is
-    -180..180. ``height``, ``width``: strip height and least cell width in degrees; they change speed, never the result. ``pair_condition``
-    restricts pairs (columns of both sides). Edge cases: a point on an edge or vertex is inside with on_boundary true; regions without area
-    hold only boundary points; NULLs must be removed before (sky_points does).
+    -180..180. ``height``, ``width``: strip height and least cell width in degrees; they change speed, never the result. Edge cases: a point
+    on an edge or vertex is inside with on_boundary true; regions without area hold only boundary points; NULLs must be removed before
+    (sky_points does).
     """
-    strip_p = strip_of(F.col("dec"), height).alias("strip")
-    placed = points.select("id", "ra", "dec", strip_p)
-    placed = placed.withColumn("cell", cell_of(F.col("ra"), cells_in_strip(F.col("strip"), height, width)))
     payload = [c for c in edges.columns if c not in ("x1", "y1", "x2", "y2")]
-    strips = F.explode(F.sequence(strip_of(F.least("y1", "y2"), height), strip_of(F.greatest("y1", "y2"), height))).alias("strip")
-    e = edges.select("*", strips)
-    n = cells_in_strip(F.col("strip"), height, width)
-    first, last = (F.floor((F.col("ref") + F.col(side)) / 360.0 * n) for side in ("west", "east"))
-    e = e.withColumn("_n", n).withColumn("_first", first).withColumn("_last", F.least(last, first + F.col("_n") - 1))
-    e = e.withColumn("_k", F.explode(F.sequence("_first", "_last"))).withColumn("cell", F.pmod("_k", "_n")).drop("_n", "_first", "_last", "_k")
-    x = ra_offset(F.col("ra"), F.col("ref"))
-    # the seam -180 is also 180: a region reaching 180 sees its own copy of the point
-    x = F.when((F.col("east") >= 180.0) & (x == -180.0), F.when(F.col("west") <= -180.0, x).otherwise(180.0)).otherwise(x)
-    y, x1, y1, x2, y2 = (F.col(c) for c in ("dec", "x1", "y1", "x2", "y2"))
-    at = F.when(y2 == y1, F.greatest(x1, x2)).otherwise(x1 + (y - y1) * (x2 - x1) / F.when(y2 != y1, y2 - y1))
-    crosses = ((y1 > y) != (y2 > y)) & (F.col("x") < at)
-    touches = y.between(F.least(y1, y2), F.greatest(y1, y2)) & F.when(y1 == y2, F.col("x").between(F.least(x1, x2), F.greatest(x1, x2))).otherwise(F.col("x") == at)
-    met = placed.join(e, ["strip", "cell"])
-    if pair_condition is not None:
-        met = met.where(pair_condition)
-    met = met.withColumn("x", x).where(F.col("x").between(F.col("west"), F.col("east")) & y.between(F.col("south"), F.col("north")))
-    met = met.withColumn("crossed", crosses.cast("int")).withColumn("touched", touches)
-    keys = ["strip", "cell", "id", "ra", "dec", *payload]
-    grouped = met.where((F.col("crossed") == 1) | F.col("touched")).groupBy(*keys).agg(F.sum("crossed").alias("crossings"), F.max("touched").alias("on_boundary"))
-    return grouped.where((F.col("crossings") % 2 == 1) | F.col("on_boundary")).select("id", "ra", "dec", *payload, "on_boundary")
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    e = _spread_over_cells(edges, edges.columns, low, high, F.col("ref"), F.col("west"), F.col("east"), height, width)
+    met = _placed(points, height, width).join(e, "cell").withColumn("x", _offset_in_box())
+    met = met.where(F.col("x").between(F.col("west"), F.col("east")) & F.col("dec").between(F.col("south"), F.col("north")))
+    return _inside(met, ["id", "ra", "dec", *payload])
 
 
-def box_edges(points: DataFrame, radius: float) -> DataFrame:
-    """The meridian edges of a box around each point that holds its circle of ``radius`` degrees, poles included.
+def _box(radius: float, ra: Column, dec: Column) -> dict[str, Column]:
+    """A box around a point that holds its circle of ``radius`` degrees, poles included: ref, west, east, south, north.
 
-    Edges along a parallel are left out, as no ray along the parallel crosses them (the half-open rule). The box is a little larger than
-    the circle, so points at the very distance lie inside it, not on its boundary. Columns as points_in_regions wants them;
-    payload region (the point's id), ra0, dec0.
+    It is a little larger than the circle, so points at the very distance lie inside it, not on its boundary.
     """
     r = radius * 1.001 + 1e-9
-    polar = F.abs(F.col("dec")) + r >= 90.0
-    half = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(math.radians(min(r, 90.0)))) / F.greatest(F.cos(F.radians("dec")), F.lit(1e-300)))))
+    polar = F.abs(dec) + r >= 90.0
+    half = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(math.radians(min(r, 90.0)))) / F.greatest(F.cos(F.radians(dec)), F.lit(1e-300)))))
     half = F.when(polar | (half >= 179.0), 180.0).otherwise(half * 1.001 + 1e-9)
     # a box over a pole ends beyond it, so that the pole itself is inside
-    south = F.when(F.col("dec") - r <= -90.0, -91.0).otherwise(F.col("dec") - r)
-    north = F.when(F.col("dec") + r >= 90.0, 91.0).otherwise(F.col("dec") + r)
-    box = points.select(F.col("id").alias("region"), F.col("ra").alias("ra0"), F.col("dec").alias("dec0"), F.col("ra").alias("ref"), (-half).alias("west"), half.alias("east"), south.alias("south"), north.alias("north"))
+    south = F.when(dec - r <= -90.0, -91.0).otherwise(dec - r)
+    north = F.when(dec + r >= 90.0, 91.0).otherwise(dec + r)
+    return {"ref": ra, "west": -half, "east": half, "south": south, "north": north}
+
+
+def points_in_boxes(points: DataFrame, centres: DataFrame, radius: float, height: float, width: float, pair_condition: Column | None = None) -> DataFrame:
+    """(id, ra, dec, region, ra0, dec0) of every point and every box (see _box) of ``centres`` (region, ra0, dec0) containing it.
+
+    What points_in_regions does, for regions that follow from their centre: only centres are shuffled, once a cell, and the box and its
+    edges are made after the join. Edges along a parallel are left out, as no ray along the parallel crosses them (the half-open rule).
+    """
+    box = _box(radius, F.col("ra0"), F.col("dec0"))
     # an edge meets only strips that can hold points
-    low, high = F.greatest("south", F.lit(-90.0)), F.least("north", F.lit(90.000001))
-    side = F.explode(F.array(F.col("west"), F.when(F.col("east") >= 180.0, 180.5).otherwise(F.col("east"))))
-    return box.withColumn("x1", side).withColumn("x2", F.col("x1")).withColumn("y1", low).withColumn("y2", high)
+    low, high = F.greatest(box["south"], F.lit(-90.0)), F.least(box["north"], F.lit(90.000001))
+    c = _spread_over_cells(centres, ["region", "ra0", "dec0"], low, high, box["ref"], box["west"], box["east"], height, width)
+    met = _placed(points, height, width).join(c, "cell")
+    if pair_condition is not None:
+        met = met.where(pair_condition)
+    met = met.where(F.col("dec").between(box["south"], box["north"])).withColumns(box).withColumn("x", _offset_in_box())
+    met = met.where(F.col("x").between(F.col("west"), F.col("east")))
+    side = F.explode(F.array(F.col("west"), F.when(F.col("east") >= 180.0, 180.5).otherwise(F.col("east")))).alias("x1")
+    keys = ["id", "ra", "dec", "region", "ra0", "dec0"]
+    met = met.select("cell", *keys, "x", low.alias("y1"), high.alias("y2"), side).withColumn("x2", F.col("x1"))
+    return _inside(met, keys).drop("on_boundary")
 
 
 def separation_deg(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
@@ -125,8 +165,9 @@ def pairs_within(rows: DataFrame, identifier: str, ra: str, dec: str, radius_arc
     if not (radius_arcsec >= 0 and math.isfinite(radius_arcsec)):
         raise ValueError("the radius must be a finite number of arcseconds, 0 or more")
     radius = radius_arcsec * ARCSEC
-    points = sky_points(rows, identifier, ra, dec)
-    side = max(2.2 * radius, 1.0 * ARCSEC)
-    inside = points_in_regions(points, box_edges(points, radius), side, side, F.col("region") < F.col("id"))
+    points = materialize(sky_points(rows, identifier, ra, dec))
+    centres = points.select(F.col("id").alias("region"), F.col("ra").alias("ra0"), F.col("dec").alias("dec0"))
+    side = max(CELL_RADII * radius, 1.0 * ARCSEC)
+    inside = points_in_boxes(points, centres, radius, side, side, F.col("region") < F.col("id"))
     near = separation_deg(F.col("ra0"), F.col("dec0"), F.col("ra"), F.col("dec")) <= radius * (1 + 1e-12)
     return inside.where(near).select(F.col("region").alias("id_a"), F.col("id").alias("id_b")).distinct()
