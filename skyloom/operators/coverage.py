@@ -7,7 +7,7 @@ of score are broken by RA, DEC and further columns given, so results don't depen
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,12 +16,16 @@ from pyspark.sql import functions as F
 
 from skyloom.config import Algorithm
 from skyloom.functions.numeric import column
+from skyloom.functions.philox import LOW, philox
 from skyloom.runtime import bounded, materialize
 
 CELL, SCORE, RANK = "__icov__", "__score__", "__rk__"
 #: Up to so many rows a global limit is left to Spark's top-k; beyond it sorts by range and counts.
 SMALL_LIMIT = 100_000
-RANDOM_FACTOR, SEED_FACTOR, RANDOM_RANGE = 2_654_435_761, 2_246_822_519, 1 << 32
+#: A score held by this share of all rows is handled apart before the shuffle (at most its inverse many such scores); changes the plan only.
+FREQUENT = 0.005
+#: Distance between the keys of the depths' random numbers, odd.
+DEPTH_STEP = 2_246_822_519
 
 
 def best_first(ties: Sequence[str], descending: bool, score: str = SCORE) -> list[Column]:
@@ -132,10 +136,9 @@ def whole_k(k: float) -> int:
     return max(1, math.ceil(k))
 
 
-def draw(key: Column, seed: int) -> Column:
-    """A reproducible number in [0, 1) for a whole-number key."""
-    mixed = F.pmod(F.pmod(key.cast("long"), F.lit(1 << 31)) * F.lit(RANDOM_FACTOR) + F.lit(seed * SEED_FACTOR % RANDOM_RANGE), F.lit(RANDOM_RANGE))
-    return mixed / F.lit(float(RANDOM_RANGE))
+def draw(key: Column, seed: int, depth: int = 0) -> Column:
+    """A reproducible number in [0, 1) for a whole-number key, another one at each depth."""
+    return philox(key, (seed + depth * DEPTH_STEP) & LOW) / F.lit(float(1 << 32))
 
 
 def resolve_logic(mode: str, logic: str) -> tuple[str, str]:
@@ -149,24 +152,24 @@ def resolve_logic(mode: str, logic: str) -> tuple[str, str]:
     return mode, logic
 
 
-def fractional(selected: DataFrame, k: float, mode: str, logic: str, order: Sequence[Column], row_key: Column, seed: int, limits: DataFrame | None = None) -> DataFrame:
+def fractional(selected: DataFrame, k: float, mode: str, logic: str, order: Sequence[Column], row_key: Column, seed: int, limits: DataFrame | None = None, depth: int = 0) -> DataFrame:
     """What remains of the selected rows when k (or a cell's biased k in ``limits``) is no whole number.
 
     score/global, random/global: round(k * cells) rows over all cells, the best or the first by random order (the bias is not
     considered). score/local: the cell's floor(k) best rows and the next with the fraction as probability; random/local: so many
-    random ones. A whole k without bias changes nothing in random/local. Random numbers depend on ``seed`` and, for a cell, its number; for a row,
-    ``row_key``.
+    random ones. A whole k without bias changes nothing in random/local. Random numbers depend on ``seed``, ``depth`` and, for a cell, its number; for a
+    row, ``row_key``.
     """
     mode, logic = resolve_logic(mode, logic)
     if k <= 0:
         return selected
     if logic == "global":
         n = round(k * selected.select(CELL).distinct().count())
-        return first_rows(selected, n, order if mode == "score" else [draw(row_key, seed), *order])
+        return first_rows(selected, n, order if mode == "score" else [draw(row_key, seed, depth), *order])
     if mode == "random" and limits is None and k - math.floor(k) <= 1e-9:
         return selected
     w = Window.partitionBy(CELL)
-    picks = w.orderBy(*order) if mode == "score" else w.orderBy(draw(row_key, seed), *order)
+    picks = w.orderBy(*order) if mode == "score" else w.orderBy(draw(row_key, seed, depth), *order)
     out = selected.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_at", F.row_number().over(picks))
     wanted = F.lit(float(k))
     if limits is not None:
@@ -175,7 +178,7 @@ def fractional(selected: DataFrame, k: float, mode: str, logic: str, order: Sequ
         wanted = F.coalesce(F.col("_k"), wanted)
     wanted = F.least(wanted, F.col("_n").cast("double"))
     whole = F.floor(wanted)
-    extra = F.when(draw(F.col(CELL), seed) < wanted - whole, 1).otherwise(0)
+    extra = F.when(draw(F.col(CELL), seed, depth) < wanted - whole, 1).otherwise(0)
     return out.where(F.col("_at") <= whole + extra).drop("_n", "_at", "_cell", "_k")
 
 
@@ -185,8 +188,13 @@ class Selection:
 
     algorithm: Algorithm
     ties: tuple[str, ...]
-    row_key: str  # whole-number column for random order; unique for tie_policy "keep"
+    row_key: str  # whole-number column for random order, the same on every layout
     density: DataFrame | None  # (cell, n) of the whole catalogue, for the bias
+    row: str | None = None  # whole-number column unlike in all rows, for tie_policy "keep"; not given: row_key
+
+
+def is_biased(s: Selection) -> bool:
+    return s.algorithm.density_bias_mode in ("proportional", "inverse") and s.density is not None
 
 
 def can_select_at_once(a: Algorithm) -> bool:
@@ -198,6 +206,13 @@ def can_select_at_once(a: Algorithm) -> bool:
     return all((k := rows_per_cell(a, d)) > 0 and k == math.floor(k) for d in range(1, a.level_limit + 1))
 
 
+def can_select_within_cells(a: Algorithm) -> bool:
+    """Whether no depth looks beyond single cells: no totals, and no fraction that is settled over all cells."""
+    if a.targets_total_initial is not None or a.targets_total_per_level:
+        return False
+    return resolve_logic(a.fractional_mode, a.fractional_mode_logic)[1] == "local"
+
+
 def select_at_once(rows: DataFrame, s: Selection) -> DataFrame:
     """All depths from one ranking: ``depth`` is the first whose running sum of k reaches the row's rank."""
     sums, total = [], 0
@@ -211,25 +226,106 @@ def select_at_once(rows: DataFrame, s: Selection) -> DataFrame:
     return best.withColumn("depth", depth).drop(RANK)
 
 
-def select_depth(rows: DataFrame, k: float, s: Selection) -> DataFrame:
+def contenders(rows: DataFrame, s: Selection, most: Sequence[int]) -> DataFrame:
+    """The rows that may be chosen if depth i takes at most ``most[i]`` rows of a cell; no other row can be.
+
+    "keep": a cell's sum(most) best rows and one more (which shows that the cell isn't used up). "reference": by induction over the depths a
+    chosen row is among the sum(most) best different scores of its cell, and among the max(most) first rows of that score. Both are
+    group limits, applied before and after the shuffle on the cell; scores that very many rows hold (missing ones above all) are first limited
+    among themselves, so that they don't meet in one task either.
+    """
+    a, total = s.algorithm, sum(most)
+    order = best_first(s.ties, a.order_desc)
+    if a.tie_policy == "keep":
+        return top_k(rows, total + 1, order).drop(RANK)
+    rows = rows.where(F.col(CELL).isNotNull())
+    score = F.col(SCORE).desc_nulls_last() if a.order_desc else F.col(SCORE).asc_nulls_last()
+    within = F.row_number().over(Window.partitionBy(CELL, SCORE).orderBy(*order[1:]))
+    among = F.dense_rank().over(Window.partitionBy(CELL).orderBy(score))
+    first = lambda df, place, limit: df.withColumn(RANK, place).where(F.col(RANK) <= int(limit)).drop(RANK)
+    frequent = [x for x in rows.where(F.col(SCORE).isNotNull()).stat.freqItems([SCORE], FREQUENT).first()[0] or [] if x is not None]
+    held = F.col(SCORE).isNull() | F.col(SCORE).isin(*frequent) if frequent else F.col(SCORE).isNull()
+    kept = first(rows.where(held), within, max(most)).unionByName(first(rows.where(~held), among, total))
+    return first(first(kept, among, total), within, max(most))
+
+
+def select_within_cells(work: DataFrame, s: Selection, weights: DataFrame | None) -> DataFrame:
+    """All depths in one plan over ``work`` (see contenders): windows over the cell tell for each depth what is left, chosen and cut.
+
+    They share the partitioning by cell and, but for random choices, one sort. A row with a missing score may be chosen at several depths
+    ("reference"), so depths are gathered in an array.
+    """
+    a, order = s.algorithm, best_first(s.ties, s.algorithm.order_desc)
+    cell = Window.partitionBy(CELL)
+    running = cell.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mode, _ = resolve_logic(a.fractional_mode, a.fractional_mode_logic)
+    out = work.withColumns({"_alive": F.lit(True), "_depths": F.array().cast("array<int>")})
+    if weights is not None:
+        out = out.join(weights.select(F.col(CELL).alias("_cell"), F.col("weight").alias("_weight")), F.col(CELL) == F.col("_cell")).drop("_cell")
+    for depth in range(1, a.level_limit + 1):
+        k = rows_per_cell(a, depth)
+        if k <= 0:
+            continue
+        k_cell = F.lit(float(k)) if weights is None else F.col("_weight") * k
+        limit = F.lit(whole_k(k)) if weights is None else F.when(k_cell > 0, F.greatest(F.lit(1), F.ceil(k_cell)))
+        out = out.withColumn("_at", F.sum(F.col("_alive").cast("int")).over(running))
+        out = out.withColumn("_chosen", F.col("_alive") & (F.col("_at") <= F.coalesce(limit, F.lit(0))))
+        if weights is not None or k != math.floor(k):
+            wanted = F.least(k_cell, F.sum(F.col("_chosen").cast("int")).over(cell).cast("double"))
+            whole = F.floor(wanted)
+            if mode == "random":
+                place = F.row_number().over(cell.orderBy(F.col("_chosen").desc(), draw(F.col(s.row_key), a.seed, depth), *order))
+                out = out.withColumn("_at", place)
+            extra = F.when(draw(F.col(CELL), a.seed, depth) < wanted - whole, 1).otherwise(0)
+            out = out.withColumn("_upto", whole + extra).withColumn("_chosen", F.col("_chosen") & (F.col("_at") <= F.col("_upto"))).drop("_upto")
+        out = out.withColumn("_depths", F.when(F.col("_chosen"), F.array_append("_depths", F.lit(depth))).otherwise(F.col("_depths")))
+        if a.tie_policy == "keep":
+            out = out.withColumn("_alive", F.col("_alive") & ~F.col("_chosen"))
+            continue
+        held = F.when(F.col("_chosen"), F.col(SCORE))
+        cut = (F.min(held) if a.order_desc else F.max(held)).over(cell)
+        out = out.withColumns({"_cut": cut, "_any": F.max("_chosen").over(cell)})
+        worse = F.col("_cut").isNotNull() & (F.col(SCORE).isNull() | ((F.col(SCORE) < F.col("_cut")) if a.order_desc else (F.col(SCORE) > F.col("_cut"))))
+        out = out.withColumn("_alive", F.col("_alive") & (~F.col("_any") | worse)).drop("_cut", "_any")
+    out = out.where(F.size("_depths") > 0).withColumn("depth", F.explode("_depths"))
+    return out.select(*work.columns, "depth")
+
+
+def select_depth(rows: DataFrame, k: float, s: Selection, depth: int, weights: DataFrame | None) -> DataFrame:
     """The rows chosen among ``rows`` at one depth with ``k`` rows per cell."""
     a, order = s.algorithm, best_first(s.ties, s.algorithm.order_desc)
     limits = None
-    if a.density_bias_mode in ("proportional", "inverse") and s.density is not None:
-        limits = integer_limits(bias_weights(s.density, a.density_bias_mode, a.density_bias_exponent), k)
+    if weights is not None:
+        limits = integer_limits(weights, k)
         chosen = top_k_by_cell(rows, limits, order)
     else:
         chosen = top_k(rows, whole_k(k), order)
-    return fractional(chosen.drop(RANK), k, a.fractional_mode, a.fractional_mode_logic, order, F.col(s.row_key), a.seed, limits)
+    return fractional(chosen.drop(RANK), k, a.fractional_mode, a.fractional_mode_logic, order, F.col(s.row_key), a.seed, limits, depth)
+
+
+def _worst(rows: DataFrame, descending: bool) -> DataFrame:
+    """(cell, score) of the worst row of each cell; a missing score is worst."""
+    missing, worst = F.max(F.col(SCORE).isNull()), F.min(SCORE) if descending else F.max(SCORE)
+    return rows.where(F.col(CELL).isNotNull()).groupBy(CELL).agg(F.when(~missing, worst).alias(SCORE))
+
 
+def _end_at_gap(chosen: DataFrame, a: Algorithm) -> DataFrame:
+    """``chosen`` up to the first depth at which something was wanted and nothing chosen: there the loop ends."""
+    present = {r["depth"] for r in chosen.select("depth").distinct().collect()}  # at most level_limit rows
+    wanted = [d for d in range(1, a.level_limit + 1) if rows_per_cell(a, d) > 0]
+    gap = next((d for d in wanted if d not in present), None)
+    return chosen if gap is None else chosen.where(F.col("depth") < gap)
 
-def select_hierarchy(rows: DataFrame, s: Selection) -> DataFrame:
+
+def select_hierarchy(rows: DataFrame, s: Selection, report: Callable[[int, float, int, int], None] | None = None) -> DataFrame:
     """All chosen rows with their ``depth``.
 
-    Each depth reads the prepared rows once, behind a flat filter: per cell only the latest threshold matters (deeper ones are always
-    worse), so lineage does not grow with depth. Depths without anything to choose are skipped; the loop ends when nothing was chosen.
+    Only ``rows`` that may be chosen are looked at (contenders), so the catalogue is read once and what a depth reads does not grow with it.
+    Where every depth stays within single cells, all depths are one plan; where totals or fractions are settled over all cells, the
+    depths follow one another, each written. Only a total profile, whose k has no bound beforehand, makes each depth read all rows. Depths
+    without anything to choose are skipped; all ends at the first depth where nothing was chosen.
     ``tie_policy`` "reference": rows tied with a cut are lost to deeper levels, and rows with missing scores may come again; "keep": every
-    row not chosen stays, none comes twice.
+    row not chosen stays, none comes twice. ``report`` is told depth, k, cells and chosen rows of each depth that follows another.
     """
     a = s.algorithm
     nothing = rows.where(F.lit(False)).withColumn("depth", F.lit(0))
@@ -237,24 +333,51 @@ def select_hierarchy(rows: DataFrame, s: Selection) -> DataFrame:
         return nothing
     if can_select_at_once(a):
         return select_at_once(rows, s)
+    weights, heaviest = None, 1.0
+    if is_biased(s):
+        weights = materialize(bias_weights(s.density, a.density_bias_mode, a.density_bias_exponent))
+        n_weights, heaviest = weights.agg(F.count(F.lit(1)), F.coalesce(F.max("weight"), F.lit(1.0))).first()
+        weights = bounded(weights, n_weights)
+    if a.targets_total_initial is None:
+        ks = [rows_per_cell(a, d) for d in range(1, a.level_limit + 1)]
+        most = [whole_k(k * heaviest) for k in ks if k > 0]
+        if not most:
+            return nothing
+        if can_select_within_cells(a):
+            return _end_at_gap(materialize(select_within_cells(contenders(rows, s, most), s, weights)), a)
+        work = materialize(contenders(rows, s, most))
+        cells = materialize(_worst(rows, a.order_desc)) if a.targets_total_per_level and a.tie_policy != "keep" else work
+    else:
+        work = cells = materialize(rows)
+    found = _depth_by_depth(work, cells, s, weights, report)
+    return nothing if found is None else found
+
+
+def _depth_by_depth(work: DataFrame, cells: DataFrame, s: Selection, weights: DataFrame | None, report: Callable[[int, float, int, int], None] | None) -> DataFrame | None:
+    """The loop over depths; ``cells`` holds a row of each cell that is left as long as any row of the cell is."""
+    a, row = s.algorithm, s.row or s.row_key
     keep_ties = a.tie_policy == "keep"
     chosen: list[DataFrame] = []
     cuts: DataFrame | None = None
-    n_cuts = 0
+    n_cuts = n_chosen = 0
     for depth in range(1, a.level_limit + 1):
-        left = rows
-        if keep_ties and chosen:
-            taken = reduce(DataFrame.unionByName, [c.select(F.col(s.row_key).alias("_row")) for c in chosen])
-            left = rows.join(taken, F.col(s.row_key) == F.col("_row"), "left_anti")
-        elif cuts is not None:
-            left = remainder(rows, cuts, a.order_desc, n_cuts)
-        n_cells = left.select(CELL).where(F.col(CELL).isNotNull()).distinct().count() if needs_cell_count(a, depth) else 0
+        def left(df: DataFrame) -> DataFrame:
+            if keep_ties and chosen:
+                taken = reduce(DataFrame.unionByName, [c.select(F.col(row).alias("_row")) for c in chosen])
+                return df.join(bounded(taken, n_chosen), F.col(row) == F.col("_row"), "left_anti")
+            return df if cuts is None else remainder(df, cuts, a.order_desc, n_cuts)
+
+        n_cells = left(cells).select(CELL).where(F.col(CELL).isNotNull()).distinct().count() if needs_cell_count(a, depth) else 0
         k = rows_per_cell(a, depth, n_cells)
         if k <= 0:
             continue
-        picked = materialize(select_depth(left, k, s).withColumn("depth", F.lit(depth)))
-        if picked.isEmpty():
+        picked = materialize(select_depth(left(work), k, s, depth, weights).withColumn("depth", F.lit(depth)))
+        n = picked.count()
+        if report:
+            report(depth, k, n_cells, n)
+        if not n:
             break
+        n_chosen += n
         chosen.append(picked)
         if not keep_ties:
             new = thresholds(picked, a.order_desc)
@@ -262,4 +385,4 @@ def select_hierarchy(rows: DataFrame, s: Selection) -> DataFrame:
                 new = cuts.join(new.select(F.col(CELL).alias("_cell")), F.col(CELL) == F.col("_cell"), "left_anti").unionByName(new)
             cuts = materialize(new)
             n_cuts = cuts.count()
-    return reduce(DataFrame.unionByName, chosen) if chosen else nothing
+    return reduce(DataFrame.unionByName, chosen) if chosen else None

@@ -1,7 +1,7 @@
 """A whole run: catalogue in, tile hierarchy out.
 
-The input is read and prepared once (positions, deepest pixel, cell, score) and written to the shared folder; one job counts the density maps,
-the selection runs on the prepared rows, and executors write the tiles. The driver sees scalars, histograms of at most
+The input is prepared lazily (positions, deepest pixel, cell, score): the density maps read its positions, the selection reads the kept columns
+and writes only rows that may be chosen, and executors write the tiles. Text input is parsed once and written to the shared folder. The driver sees scalars, histograms of at most
 ``mag_hist_nbins`` bins, one row per file written (counted, not collected), and the compact coverage map.
 """
 
@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,9 +21,10 @@ from skyloom.operators import magnitude as mg
 from skyloom.operators.clean import normalise_positions
 from skyloom.operators.coverage import CELL, SCORE, Selection, best_first, select_hierarchy
 from skyloom.operators.densmap import compact_cells, coverage_cells, density_maps, density_stats
-from skyloom.runtime import bounded, materialize
+from skyloom.runtime import GROUP_LIMITS, bounded, materialize, scratch, settings, settled
 from skyloom.sinks.fits import write_density_map
-from skyloom.sinks.metadata import RunLog, arguments, now, properties, write_coverage_map, write_text, write_votables
+from skyloom.sinks.metadata import RunLog, arguments, now, properties, write_coverage_map, write_votables
+from skyloom.sinks.store import Store, absolute
 from skyloom.sinks.tiles import ALLSKY_ORDERS, write_allsky, write_tiles
 from skyloom.sources.catalog import Roles, find_hats_root, hats_index_order, read_catalog, roles
 
@@ -97,7 +97,6 @@ def prepare(spark: SparkSession, config: Config) -> Prepared:
     # the row's content decides its place among equals: the same on every layout
     content = F.xxhash64(*[F.to_json(column(c)) if "map<" in rows.schema[c].dataType.simpleString() else column(c) for c in r.keep])
     rows = rows.select(*[column(c) for c in r.keep], *extra, content.alias("__content__"), F.monotonically_increasing_id().alias(ROW))
-    rows = materialize(rows)
     return Prepared(rows.persist() if config.cluster.persist_ddfs else rows, r, order)
 
 
@@ -135,14 +134,19 @@ def _by_depth(df: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
 
 
 def run(spark: SparkSession, config: Config) -> RunResult:
-    """Build the hierarchy described by ``config`` under its output folder."""
+    """Build the hierarchy described by ``config`` under its output folder, which may be a URI (see sinks.store)."""
     config = check_for_run(config)
-    a = config.algorithm
-    folder = Path(config.output.out_dir)
-    folder.mkdir(parents=True, exist_ok=True)
-    log = RunLog(folder)
+    store = Store(config.output.out_dir)
+    store.make_folder()
+    with scratch(), settings(spark, GROUP_LIMITS):
+        return _run(spark, config, store)
+
+
+def _run(spark: SparkSession, config: Config, store: Store) -> RunResult:
+    a, root = config.algorithm, absolute(config.output.out_dir)
+    log = RunLog(store)
     log(f"start: {a.selection_mode}, orders 1 to {a.level_limit}")
-    if config.input.format.lower() != "hats" and any(find_hats_root(path) for path in config.input.paths if "://" not in path):
+    if config.input.format.lower() != "hats" and any(find_hats_root(path, spark) for path in config.input.paths):
         log("the input lies in a HATS catalogue; format hats would use its partitions")
     with _step(spark, config, "prepare"):
         p = prepare(spark, config)
@@ -160,13 +164,17 @@ def run(spark: SparkSession, config: Config) -> RunResult:
     log(f"{n_rows} rows; pixels by order: {({d: s[1] for d, s in sorted(stats.items())})}")
     with _step(spark, config, "metadata"):
         for depth in range(a.level_limit + 1):
-            write_density_map(maps, depth, folder)
-        write_coverage_map(compact_cells(coverage_cells(maps, a.level_coverage), a.level_coverage), a.level_coverage, folder)
-        write_votables(p.rows.schema, p.roles.keep, p.roles.ra, p.roles.dec, folder)
-        write_text(folder / "properties", properties(config.output, a.level_limit, n_rows, now()))
-        write_text(folder / "arguments", arguments(config, {"mag_min": window[0], "mag_max": window[1]} if window else {}))
+            write_density_map(maps, depth, store)
+        write_coverage_map(compact_cells(coverage_cells(maps, a.level_coverage), a.level_coverage), a.level_coverage, store)
+        write_votables(p.rows.schema, p.roles.keep, p.roles.ra, p.roles.dec, store)
+        store.write_text("properties", properties(config.output, a.level_limit, n_rows, now()))
+        store.write_text("arguments", arguments(config, {"mag_min": window[0], "mag_max": window[1]} if window else {}))
     edges: tuple[float, ...] = ()
     order: list[Column] = [F.col(ROW)]
+
+    def with_tile(chosen: DataFrame) -> DataFrame:
+        return chosen.withColumn("ipix", F.expr(f"shiftright({DEEP}, 2 * ({p.order} - depth))"))
+
     with _step(spark, config, "select"):
         if a.selection_mode == "mag_global":
             selected, edges = _magnitude_selection(p, rows, {d: s[1] for d, s in stats.items()}, config, window)
@@ -178,20 +186,24 @@ def run(spark: SparkSession, config: Config) -> RunResult:
             density = None
             if a.density_bias_mode in ("proportional", "inverse") and a.coverage_order <= a.level_limit and not a.use_hats_as_coverage:
                 density = maps.where(F.col("depth") == a.coverage_order).select(F.col("ipix").alias(CELL), "n")
-            selected = select_hierarchy(p.rows, Selection(a, ties, ROW, density))
-    if selected is None:
-        log("nothing to select")
-        return RunResult(n_rows, {}, {}, window, edges)
-    deep = f"shiftright({DEEP}, 2 * ({p.order} - depth))"
-    selected = materialize(selected.withColumn("ipix", F.expr(deep)))
+            # random choices go by the row's content, so that they are the same on every layout
+            how = Selection(a, ties, "__content__", density, ROW)
+            selected = settled(lambda: with_tile(select_hierarchy(p.rows, how, lambda d, k, cells, n: log(f"depth {d}: k {k:g}{f', {cells} cells' if cells else ''}, {n} rows chosen"))))
+        if selected is None:
+            log("nothing to select")
+            return RunResult(n_rows, {}, {}, window, edges)
+        if a.selection_mode == "mag_global":
+            selected = materialize(with_tile(selected))
     with _step(spark, config, "write tiles"):
-        written, tiles = _by_depth(materialize(write_tiles(selected, maps, p.roles.keep, order, str(folder.resolve()))))
+        written, tiles = _by_depth(materialize(write_tiles(selected, maps, p.roles.keep, order, root)))
         allsky = {d: stats[d][0] for d in ALLSKY_ORDERS if d in stats}
-        materialize(write_allsky(selected, allsky, p.roles.keep, order, str(folder.resolve())))
+        materialize(write_allsky(selected, allsky, p.roles.keep, order, root))
     if config.cluster.persist_ddfs:
         p.rows.unpersist()
-    for d in sorted(written):
-        log(f"depth {d}: {written[d]} rows in {tiles[d]} tiles")
+    left = n_rows
+    for d in range(1, a.level_limit + 1):
+        start, left = left, left - written.get(d, 0)
+        log(f"depth {d}: {start} rows to choose from, {written.get(d, 0)} written in {tiles.get(d, 0)} tiles, {left} remaining")
     log("done")
     return RunResult(n_rows, written, tiles, window, edges)
 

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only when it was counted and has at most this many rows.
 BROADCAST_ROWS = 200_000
 
+#: Rankings cut at up to so many rows a group are cut before the shuffle too.
+GROUP_LIMITS = {"spark.sql.optimizer.windowGroupLimitThreshold": "10000"}
+
 _scratch: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
 
@@ -31,6 +34,7 @@ def build_session(app: str = "skyloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.files.maxPartitionBytes": "256m",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        **GROUP_LIMITS,
     } | conf
     return builder.config(map=settings).getOrCreate()
 
@@ -83,6 +87,29 @@ def scratch() -> Iterator[None]:
         _delete(done)
 
 
+def settled(build: Callable[[], DataFrame]) -> DataFrame:
+    """``materialize(build())``; the tables written while building are deleted then."""
+    before = len(_scratch)
+    out = materialize(build())
+    done = _scratch[before:-1]
+    del _scratch[before:-1]
+    _delete(done)
+    return out
+
+
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Session settings for what is planned inside; restored afterwards."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package wherever they run: its files go along with the application, once a context."""
     context = spark.sparkContext

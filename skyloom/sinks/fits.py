@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.healpix import pixels_at
 from skyloom.runtime import ship_package
+from skyloom.sinks.store import Store
 
 BLOCK, CARD = 2880, 80
 #: Pixels in one piece of a map: 512 KB of counts.
@@ -36,10 +36,14 @@ def header(cards: Sequence[tuple]) -> bytes:
     return text.ljust(-(-len(text) // BLOCK) * BLOCK).encode("ascii")
 
 
-def write_integer_table(path: Path, column: str, rows: int, pieces: Iterable[bytes], extra: Sequence[tuple] = ()) -> None:
-    """A file with an empty primary unit and a table of ``rows`` big-endian 64-bit integers, written piece by piece."""
-    temp = path.with_name(f".{path.name}.tmp")
-    with open(temp, "wb") as f:
+def write_integer_table(path: str | Path, column: str, rows: int, pieces: Iterable[bytes], extra: Sequence[tuple] = (), store: Store | None = None) -> None:
+    """A file with an empty primary unit and a table of ``rows`` big-endian 64-bit integers, written piece by piece.
+
+    ``path`` is a name in ``store``, or a local file.
+    """
+    if store is None:
+        store, path = Store(str(Path(path).parent)), Path(path).name
+    with store.open(str(path)) as f:
         f.write(header([("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("EXTEND", True)]))
         table = [("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", 8), ("NAXIS2", rows), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", 1), ("TTYPE1", column), ("TFORM1", "K")]
         f.write(header([*table, *extra]))
@@ -50,7 +54,6 @@ def write_integer_table(path: Path, column: str, rows: int, pieces: Iterable[byt
         if size != 8 * rows:
             raise ValueError(f"{size} bytes for {rows} rows")
         f.write(b"\0" * (-size % BLOCK))
-    os.replace(temp, path)
 
 
 def _dense(group: pd.DataFrame) -> pd.DataFrame:
@@ -86,9 +89,9 @@ def _empty(first: int, end: int) -> Iterator[bytes]:
         first += n
 
 
-def write_density_map(maps: DataFrame, depth: int, folder: Path) -> None:
+def write_density_map(maps: DataFrame, depth: int, store: Store) -> None:
     if depth <= DEEPEST_MAP:
-        write_integer_table(folder / f"densmap_o{depth}.fits", "VALUE", pixels_at(depth), map_pieces(maps, depth))
+        write_integer_table(f"densmap_o{depth}.fits", "VALUE", pixels_at(depth), map_pieces(maps, depth), store=store)
 
 
 def read_integer_table(path: Path) -> tuple[dict[str, str], np.ndarray]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict
 from datetime import UTC, datetime
@@ -16,35 +15,32 @@ from pyspark.sql import types as T
 
 from skyloom.config import Config, Output
 from skyloom.sinks.fits import write_integer_table
+from skyloom.sinks.store import Store
 
 BUILDER = "skyloom"
-# Meanings of the position columns in table descriptions.
+# Publisher and status of a hierarchy that is not published, and meanings of the position columns in table descriptions.
+PUBLISHER, STATUS = "ivo://PRIVATE_USER", "public master unclonable"
 UCD_RA, UCD_DEC = "pos.eq.ra;meta.main", "pos.eq.dec;meta.main"
 VOTABLE = "http://www.ivoa.net/xml/VOTable/v1.3"
 
 
-def write_text(path: Path, text: str) -> None:
-    temp = path.with_name(f".{path.name}.tmp")
-    temp.write_text(text, encoding="utf-8", newline="")
-    os.replace(temp, path)
-
-
 def now() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def write_coverage_map(cells: DataFrame, order: int, folder: Path) -> None:
+def write_coverage_map(cells: DataFrame, order: int, folder: Store | Path) -> None:
     """Moc.fits (numbers 4 * 4^depth + pixel, ascending) and Moc.json ({depth: pixels}) of compacted cells; empty is allowed.
 
     ``cells`` (depth, ipix) are at most 12 * 4^order rows, of which the driver holds one 8-byte number each.
     """
+    store = folder if isinstance(folder, Store) else Store(str(folder))
     rows = cells.selectExpr("shiftleft(4L, 2 * depth) + ipix AS uniq").orderBy("uniq").toPandas()["uniq"].to_numpy(np.int64)
     extra = [("MOCVERS", "2.0"), ("MOCDIM", "SPACE"), ("ORDERING", "NUNIQ"), ("COORDSYS", "C"), ("MOCORD_S", order), ("MOCTOOL", BUILDER)]
-    write_integer_table(folder / "Moc.fits", "UNIQ", len(rows), [rows.astype(">i8").tobytes()], extra)
+    write_integer_table("Moc.fits", "UNIQ", len(rows), [rows.astype(">i8").tobytes()], extra, store)
     depth = (np.frexp(rows.astype(float))[1] - 3) // 2
     held: dict[str, list[int]] = {str(int(d)): [int(p) for p in rows[depth == d] - (4 << (2 * int(d)))] for d in np.unique(depth)}
     held.setdefault(str(order), [])
-    write_text(folder / "Moc.json", json.dumps(held))
+    store.write_text("Moc.json", json.dumps(held))
 
 
 def votable_type(kind: T.DataType) -> str:
@@ -72,9 +68,9 @@ def votable(schema: T.StructType, columns: Sequence[str], ra: str, dec: str) ->
     return '<?xml version="1.0" encoding="utf-8"?>\n' + ET.tostring(root, encoding="unicode") + "\n"
 
 
-def write_votables(schema: T.StructType, columns: Sequence[str], ra: str, dec: str, folder: Path) -> None:
+def write_votables(schema: T.StructType, columns: Sequence[str], ra: str, dec: str, store: Store) -> None:
     for name in ("metadata.xml", "Metadata.xml"):
-        write_text(folder / name, votable(schema, columns, ra, dec))
+        store.write_text(name, votable(schema, columns, ra, dec))
 
 
 def properties(output: Output, level: int, rows: int, when: str) -> str:
@@ -82,16 +78,16 @@ def properties(output: Output, level: int, rows: int, when: str) -> str:
     place = output.target.split()
     ra, dec = place if len(place) == 2 else ("0", "0")
     values = {
-        "creator_did": output.creator_did or f"ivo://PRIVATE_USER/{output.cat_name}",
+        "creator_did": output.creator_did or f"{PUBLISHER}/{output.cat_name}",
         "obs_title": output.obs_title or output.cat_name,
         "dataproduct_type": "catalog",
         "hips_version": "1.4",
         "hips_release_date": when,
-        "hips_status": "public master unclonable",
+        "hips_status": STATUS,
         "hips_frame": "equatorial",
         "hips_order": level,
         "hips_tile_format": "tsv",
-        "publisher_id": "ivo://PRIVATE_USER",
+        "publisher_id": PUBLISHER,
         "hips_service_url": f"{output.out_dir.rstrip('/')}/{output.cat_name}",
         "hips_builder": BUILDER,
         "hips_cat_nrows": rows,
@@ -115,9 +111,8 @@ def arguments(config: Config, effective: Mapping[str, object]) -> str:
 class RunLog:
     """Lines with time stamps, appended to process.log."""
 
-    def __init__(self, folder: Path) -> None:
-        self.path = folder / "process.log"
+    def __init__(self, store: Store) -> None:
+        self.store = store
 
     def __call__(self, text: str) -> None:
-        with open(self.path, "a", encoding="utf-8") as f:
-            f.write(f"{now()} {text}\n")
+        self.store.append_text("process.log", f"{now()} {text}\n")

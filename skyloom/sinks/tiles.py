@@ -1,26 +1,26 @@
 """Tiles as TSV files, written by the executors.
 
 Rows are shuffled by tile and sorted within partitions, so a task streams each of its tiles from its first row to its last; nothing is
-gathered in memory and nothing passes the driver but one line per file. Files appear under their final name only when complete, so
-a repeated task merely writes the same file again. The folder must be one all executors share.
+gathered in memory and nothing passes the driver but one line per file. In front of a tile's rows comes a row with its counts, which are
+aggregated beforehand. Files appear under their final name only when complete, so a repeated task merely writes the same file again. The
+store must be one all executors reach.
 """
 
 from __future__ import annotations
 
 import math
-import os
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from decimal import Decimal
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyloom.functions.numeric import column
 from skyloom.runtime import ship_package
+from skyloom.sinks.store import Store
 
 TILES_A_DIR = 10_000
 ALLSKY_ORDERS = (1, 2)
@@ -81,48 +81,30 @@ def _plain(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     return out
 
 
-class _Tile:
-    """One file being written: under a name of its own until complete, so tasks running twice don't meet."""
-
-    def __init__(self, final: str, head: str) -> None:
-        os.makedirs(os.path.dirname(final), exist_ok=True)
-        self.final, self.rows = final, 0
-        self.temp = os.path.join(os.path.dirname(final), f".{os.path.basename(final)}.{uuid.uuid4().hex}.tmp")
-        self.file = open(self.temp, "w", encoding="utf-8", newline="")
-        self.file.write(head)
-
-    def add(self, line: str) -> None:
-        self.file.write(line)
-        self.rows += 1
-
-    def finish(self) -> None:
-        self.file.close()
-        os.replace(self.temp, self.final)
-
-    def discard(self) -> None:
-        self.file.close()
-        if os.path.exists(self.temp):
-            os.remove(self.temp)
-
-
 def _writer(root: str, columns: list[str], path_of: Callable[[int, int], str]) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tile, done = None, None, []
+        store = Store(root)
+        tile, key, rows, done = None, None, 0, []
         try:
             for batch in batches:
-                keys = zip(*[batch.column(n).to_pylist() for n in ("_depth", "_ipix", "_in_catalogue", "_written")])
-                cells = [[cell_text(v) for v in batch.column(f"_c{i}").to_pylist()] for i in range(len(columns))]
-                for own, line in zip(keys, zip(*cells)):
-                    if own != key:
+                keys = zip(*[batch.column(n).to_pylist() for n in ("_depth", "_ipix", "_head", "_in_catalogue", "_written")])
+                cells = zip(*[[cell_text(v) for v in batch.column(f"_c{i}").to_pylist()] for i in range(len(columns))])
+                for (depth, pixel, head, in_catalogue, written), line in zip(keys, cells):
+                    if head:
                         if tile:
                             tile.finish()
-                            done.append((*key[:2], tile.rows))
-                        key = own
-                        tile = _Tile(os.path.join(root, path_of(own[0], own[1])), completeness_line(own[2] or 0, own[3]) + header_line(columns))
-                    tile.add("\t".join(line) + "\n")
+                            done.append((*key, rows))
+                        key, rows = (depth, pixel), 0
+                        tile = store.open(path_of(depth, pixel))
+                        tile.write((completeness_line(in_catalogue or 0, written) + header_line(columns)).encode())
+                    elif (depth, pixel) != key:
+                        raise RuntimeError(f"rows of tile {depth}/{pixel} without its counts")
+                    else:
+                        tile.write(("\t".join(line) + "\n").encode())
+                        rows += 1
             if tile:
                 tile.finish()
-                done.append((*key[:2], tile.rows))
+                done.append((*key, rows))
         except BaseException:
             if tile:
                 tile.discard()
@@ -132,28 +114,37 @@ def _writer(root: str, columns: list[str], path_of: Callable[[int, int], str]) -
     return write
 
 
-def tile_rows(selected: DataFrame, maps: DataFrame, columns: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Selected rows (with ``depth`` and ``ipix``) as the writer takes them: tile keys, counts and text-ready columns, sorted by tile.
+def _within(selected: DataFrame) -> DataFrame:
+    """Rows whose pixel is 0 .. 12 * 4^depth - 1."""
+    return selected.where((F.col("ipix") >= 0) & (F.col("ipix") < F.expr("12 * shiftleft(1L, 2 * depth)")))
 
-    Pixels outside 0 .. 12 * 4^depth - 1 are dropped. The catalogue's count of a pixel without one is 0.
-    """
-    depth, pixel = F.col("depth").cast("int"), F.col("ipix")
-    last = F.expr("12 * shiftleft(1L, 2 * depth)")
-    kept = selected.where((pixel >= 0) & (pixel < last))
-    counts = maps.select(F.col("depth").alias("_d"), F.col("ipix").alias("_p"), F.col("n").alias("_in_catalogue"))
-    met = kept.join(counts, (depth == F.col("_d")) & (pixel == F.col("_p")), "left")
-    met = met.withColumn("_written", F.count(F.lit(1)).over(Window.partitionBy("depth", "ipix")))
-    # the count already gathered each tile in one partition
-    met = met.sortWithinPartitions("depth", "ipix", *order)
+
+def _for_writer(rows: DataFrame, heads: DataFrame, columns: Sequence[str], order: Sequence[Column], by: Sequence[str]) -> DataFrame:
+    """Rows as the writer takes them: files (``by``) whole in a partition, each one's counts (``heads``) in front of its rows."""
+    both = rows.withColumn("_head", F.lit(False)).unionByName(heads.withColumn("_head", F.lit(True)), allowMissingColumns=True)
+    met = both.repartition(*by).sortWithinPartitions(*by, F.desc("_head"), "ipix", *order)
     text = [c.alias(f"_c{i}") for i, c in enumerate(_plain(met, columns))]
-    return met.select(depth.alias("_depth"), pixel.alias("_ipix"), F.coalesce("_in_catalogue", F.lit(0).cast("long")).alias("_in_catalogue"), "_written", *text)
+    pixel = F.col("ipix") if "ipix" in by else F.lit(-1)
+    return met.select(F.col("depth").cast("int").alias("_depth"), pixel.cast("long").alias("_ipix"), "_head", "_in_catalogue", "_written", *text)
+
+
+def tile_counts(selected: DataFrame, maps: DataFrame) -> DataFrame:
+    """(depth, ipix, _in_catalogue, _written) of every tile; the catalogue's count of a pixel without one is 0."""
+    written = selected.groupBy(F.col("depth").cast("int").alias("depth"), "ipix").agg(F.count(F.lit(1)).alias("_written"))
+    counts = maps.select(F.col("depth").cast("int").alias("depth"), "ipix", F.col("n").alias("_in_catalogue"))
+    return written.join(counts, ["depth", "ipix"], "left").withColumn("_in_catalogue", F.coalesce("_in_catalogue", F.lit(0).cast("long")))
 
 
 def write_tiles(selected: DataFrame, maps: DataFrame, columns: Sequence[str], order: Sequence[Column], root: str) -> DataFrame:
-    """Write every tile; (depth, ipix, n_written) of the files. Run by an action on the result (materialize it)."""
+    """Write every tile of the selected rows (with ``depth`` and ``ipix``); (depth, ipix, n_written) of the files.
+
+    Pixels outside 0 .. 12 * 4^depth - 1 are dropped. Run by an action on the result (materialize it).
+    """
     ship_package(selected.sparkSession)
     shown = [c for c in columns if c not in INTERNAL]
-    return tile_rows(selected, maps, shown, order).mapInArrow(_writer(root, list(shown), tile_path), "depth int, ipix long, n_written long")
+    kept = _within(selected)
+    rows = _for_writer(kept, tile_counts(kept, maps), shown, order, ["depth", "ipix"])
+    return rows.mapInArrow(_writer(root, list(shown), tile_path), "depth int, ipix long, n_written long")
 
 
 def write_allsky(selected: DataFrame, stats: dict[int, int], columns: Sequence[str], order: Sequence[Column], root: str) -> DataFrame:
@@ -163,8 +154,7 @@ def write_allsky(selected: DataFrame, stats: dict[int, int], columns: Sequence[s
     total = F.lit(None).cast("long")
     for d, n in stats.items():
         total = F.when(F.col("depth") == d, n).otherwise(total)
-    kept = selected.where(F.col("depth").isin(*ALLSKY_ORDERS)).withColumn("_written", F.count(F.lit(1)).over(Window.partitionBy("depth")))
-    kept = kept.sortWithinPartitions("depth", "ipix", *order)
-    text = [c.alias(f"_c{i}") for i, c in enumerate(_plain(kept, shown))]
-    rows = kept.select(F.col("depth").cast("int").alias("_depth"), F.lit(-1).cast("long").alias("_ipix"), total.alias("_in_catalogue"), "_written", *text)
+    kept = selected.where(F.col("depth").isin(*ALLSKY_ORDERS))
+    heads = kept.groupBy("depth").agg(F.count(F.lit(1)).alias("_written")).withColumn("_in_catalogue", total)
+    rows = _for_writer(kept, heads, shown, order, ["depth"])
     return rows.mapInArrow(_writer(root, list(shown), lambda depth, _: f"Norder{depth}/Allsky.tsv"), "depth int, ipix long, n_written long")

@@ -14,56 +14,111 @@ from pyspark.sql import types as T
 from skyloom.config import Columns, Config
 from skyloom.functions.numeric import column
 from skyloom.functions.score import score_columns
+from skyloom.runtime import materialize
 
 #: Columns a HATS folder layout adds; they are partition keys, not catalogue columns.
 HATS_KEYS = ("Norder", "Dir", "Npix")
 MARKERS = ("collection.properties", "hats.properties", "properties")
 
 
-def expand_paths(patterns: Sequence[str]) -> list[str]:
-    """Files matching the patterns, in order; patterns naming another file system are left to Spark. None at all is an error."""
+def is_uri(path: str) -> bool:
+    return "://" in path
+
+
+class Folder:
+    """A path in any file system Spark reads, seen from the driver."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark = spark
+        self.path = path if is_uri(path) else "file://" + str(Path(path).resolve())
+
+    def _hadoop(self):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def __truediv__(self, name: str) -> Folder:
+        return Folder(self.spark, f"{self.path.rstrip('/')}/{name}")
+
+    @property
+    def parent(self) -> Folder | None:
+        above = self._hadoop()[1].getParent()
+        return None if above is None else Folder(self.spark, above.toString())
+
+    def is_file(self) -> bool:
+        system, where = self._hadoop()
+        return system.exists(where) and system.getFileStatus(where).isFile()
+
+    def is_dir(self) -> bool:
+        system, where = self._hadoop()
+        return system.exists(where) and system.getFileStatus(where).isDirectory()
+
+    def glob(self) -> list[str]:
+        """The matches of the path as a pattern, in order."""
+        system, where = self._hadoop()
+        return sorted(x.getPath().toString() for x in system.globStatus(where) or [])
+
+    def lines(self) -> list[str]:
+        system, where = self._hadoop()
+        stream = system.open(where)
+        try:
+            return bytes(stream.readAllBytes()).decode("utf-8").splitlines()
+        finally:
+            stream.close()
+
+
+def expand_paths(patterns: Sequence[str], spark: SparkSession | None = None) -> list[str]:
+    """Files matching the patterns, in order; those of other file systems by their own listing (without a session they are kept). None is an error."""
     found: list[str] = []
     for p in patterns:
-        found += [p] if "://" in p else sorted(glob.glob(p))
+        found += (Folder(spark, p).glob() if spark else [p]) if is_uri(p) else sorted(glob.glob(p))
     if not found:
         raise FileNotFoundError(f"no input matches {list(patterns)}")
     return found
 
 
-def read_properties(path: Path) -> dict[str, str]:
-    """A "key = value" file; blank lines and lines starting with # are skipped."""
+def _properties(lines: Sequence[str]) -> dict[str, str]:
     out = {}
-    for line in path.read_text(encoding="utf-8").splitlines():
+    for line in lines:
         key, sign, value = line.partition("=")
         if sign and not line.lstrip().startswith("#"):
             out[key.strip()] = value.strip()
     return out
 
 
-def find_hats_root(path: str) -> Path | None:
+def read_properties(path: Path) -> dict[str, str]:
+    """A "key = value" file; blank lines and lines starting with # are skipped."""
+    return _properties(path.read_text(encoding="utf-8").splitlines())
+
+
+def find_hats_root(path: str, spark: SparkSession | None = None) -> Path | str | None:
     """The nearest folder at or above ``path`` that a HATS marker file names as a catalogue or collection."""
-    here = Path(path).resolve()
-    return next((p for p in [here, *here.parents] if any((p / m).is_file() for m in MARKERS[:2])), None)
+    if not is_uri(path):
+        here = Path(path).resolve()
+        return next((p for p in [here, *here.parents] if any((p / m).is_file() for m in MARKERS[:2])), None)
+    at = Folder(spark, path) if spark else None
+    while at is not None:
+        if any((at / m).is_file() for m in MARKERS[:2]):
+            return at.path
+        at = at.parent
+    return None
 
 
-def hats_catalog_folder(path: str) -> Path:
+def hats_catalog_folder(here: Folder) -> Folder:
     """The catalogue folder: a collection names its primary one in its properties."""
-    here = Path(path)
     collection = here / MARKERS[0]
     if collection.is_file():
-        return here / read_properties(collection).get("hats_primary_table_url", "catalog")
+        return here / _properties(collection.lines()).get("hats_primary_table_url", "catalog")
     return here
 
 
 def read_hats(spark: SparkSession, path: str) -> DataFrame:
     """A HATS catalogue with its partition keys ``Norder`` and ``Npix`` as columns, taken from the folders Norder=/Dir=/Npix=."""
-    folder = hats_catalog_folder(path)
+    folder = hats_catalog_folder(Folder(spark, path))
     data = folder / "dataset" if (folder / "dataset").is_dir() else folder
-    leaves = str(data / "Norder=*" / "Dir=*" / "Npix=*")
-    if not glob.glob(leaves):
-        raise FileNotFoundError(f"no HATS partitions under {data}")
-    reader = spark.read.option("basePath", str(data)).option("recursiveFileLookup", "false")
-    df = reader.parquet(str(data / "Norder=*" / "Dir=*"))
+    if not (data / "Norder=*/Dir=*/Npix=*").glob():
+        raise FileNotFoundError(f"no HATS partitions under {data.path}")
+    reader = spark.read.option("basePath", data.path).option("recursiveFileLookup", "false")
+    df = reader.parquet((data / "Norder=*/Dir=*").path)
     if "Npix" not in df.columns:  # leaves are files Npix=N.parquet, which partition discovery does not see
         df = df.withColumn("Npix", F.regexp_extract(F.input_file_name(), r"Npix=(\d+)", 1).cast("long"))
     return df.withColumn("Norder", F.col("Norder").cast("int")).withColumn("Npix", F.col("Npix").cast("long")).drop("Dir")
@@ -78,12 +133,28 @@ def hats_index_order(df: DataFrame) -> tuple[str, int] | None:
     return None
 
 
+#: A number as text files hold it (a cast alone would also take "1d").
+NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|nan|NaN|NAN|inf|Inf|Infinity|-inf)\s*$"
+
+
 def _text_table(spark: SparkSession, paths: list[str], config: Config) -> DataFrame:
+    """A text table, parsed once and written to the shared folder as it stands; the types are found there.
+
+    A column is double if all its values are numbers, boolean if all are true or false, else text as in the file. Empty fields are NULL.
+    """
     kind = (config.input.ascii_format or config.input.format).lower()
-    reader = spark.read.option("sep", "\t" if kind == "tsv" else ",").option("header", config.input.header).option("inferSchema", True)
-    df = reader.csv(paths)
-    # inferred whole numbers may be missing in further files: they count as doubles
-    return df.select(*[column(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.IntegralType) else column(f.name) for f in df.schema])
+    reader = spark.read.option("sep", "\t" if kind == "tsv" else ",").option("header", config.input.header).option("inferSchema", False)
+    df = materialize(reader.csv(paths))
+    facts = []
+    for i, f in enumerate(df.schema):
+        c = column(f.name)
+        facts += [F.count(c).alias(f"n{i}"), F.count(F.when(c.rlike(NUMBER_TEXT), 1)).alias(f"d{i}"), F.count(F.when(F.lower(F.trim(c)).isin("true", "false"), 1)).alias(f"b{i}")]
+    found = df.agg(*facts).first()
+    typed = []
+    for i, f in enumerate(df.schema):
+        c, n = column(f.name), found[f"n{i}"]
+        typed.append(c.try_cast("double").alias(f.name) if n and found[f"d{i}"] == n else (F.lower(F.trim(c)) == "true").alias(f.name) if n and found[f"b{i}"] == n else c)
+    return df.select(*typed)
 
 
 def read_catalog(spark: SparkSession, config: Config) -> DataFrame:
@@ -92,8 +163,8 @@ def read_catalog(spark: SparkSession, config: Config) -> DataFrame:
     if kind == "hats":
         if len(config.input.paths) != 1:
             raise ValueError("a hats input is exactly one folder")
-        return read_hats(spark, expand_paths(config.input.paths)[0])
-    paths = expand_paths(config.input.paths)
+        return read_hats(spark, expand_paths(config.input.paths, spark)[0])
+    paths = expand_paths(config.input.paths, spark)
     if kind == "parquet":
         return spark.read.parquet(*paths)
     if kind in ("csv", "tsv"):

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +165,54 @@ def test_first_rows_by_range(spark, monkeypatch):
     monkeypatch.setattr(cv, "SMALL_LIMIT", 10)
     assert sorted(r["id"] for r in cv.first_rows(df, 123, order).collect()) == sorted(want)
     assert cv.first_rows(df.limit(0), 50, order).count() == 0
+
+
+@pytest.mark.parametrize("mode", ["score", "random"])
+def test_fractions_are_drawn_afresh_at_each_depth(spark, mode):
+    rows = [(i, i % 1000, float(i)) for i in range(12_000)]
+    chosen = hierarchy(spark, rows, density_mode="constant", k_per_cov_initial=0.5, level_limit=6, fractional_mode=mode, fractional_mode_logic="local", tie_policy="keep")
+    per = Counter(i % 1000 for _, i in chosen)
+    assert 3 <= 1000 - len(per) <= 40 and 2800 < len(chosen) < 3200  # 1000 / 2^6 cells stay empty on average
+    depths = Counter(d for d, _ in chosen)
+    assert all(420 < depths[d] < 580 for d in range(1, 7))
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("policy", ["reference", "keep"])
+def test_within_cells_equals_depth_by_depth(spark, monkeypatch, seed, policy):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice([None, 1, 2, 3, 3]), rng.choice([None, *range(8)])) for i in range(120)]
+    density = spark.createDataFrame([(1, 20), (2, 30), (3, 70)], "__icov__ long, n long")
+    options = {"tie_policy": policy, "order_desc": seed % 2 == 1, "density_mode": ["exp", "linear", "constant"][seed % 3], "fractional_mode": ["random", "score"][seed % 2], "fractional_mode_logic": "local", "k_per_cov_initial": [0.6, 1.0, 1.7][seed % 3], "seed": seed}
+    if seed > 2:
+        options["density_bias_mode"] = "inverse"
+    got = hierarchy(spark, rows, density, **options)
+    monkeypatch.setattr(cv, "can_select_within_cells", lambda a: False)
+    assert got == hierarchy(spark, rows, density, **options)
+    monkeypatch.setattr(cv, "contenders", lambda rows, s, most: rows)
+    assert got == hierarchy(spark, rows, density, **options)
+
+
+def test_very_many_equal_scores(spark):
+    rows = [(i, 7, 5.0) for i in range(3000)] + [(10_000 + i, 7, None) for i in range(3000)] + [(20_000 + i, i % 3, float(i)) for i in range(60)]
+    both = {"density_mode": "constant", "k_per_cov_initial": 2.0, "tie_policy": "reference"}
+    a = Algorithm(level_limit=4, **both)
+    kept = cv.contenders(table(spark, rows), cv.Selection(a, TIES, "id", None), [2, 2, 2, 2])
+    assert kept.where("__icov__ = 7").count() == 4
+    assert hierarchy(spark, rows, **both) == model(rows, a)
+
+
+def test_contenders_are_limited_before_the_shuffle(spark):
+    df = table(spark, [(i, i % 50, float(i)) for i in range(500)])
+    for policy in ("reference", "keep"):
+        a = Algorithm(level_limit=4, tie_policy=policy)
+        plan = cv.contenders(df, cv.Selection(a, TIES, "id", None), [1, 2, 4, 8])._jdf.queryExecution().executedPlan().toString()
+        for part in plan.split("Exchange hashpartitioning")[1:]:
+            assert "WindowGroupLimit" in part, plan
+
+
+def test_a_profile_of_totals(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(6), float(rng.randrange(30))) for i in range(200)]
+    options = {"targets_total_initial": 12.0, "density_mode": "linear", "tie_policy": "keep"}
+    assert hierarchy(spark, rows, **options) == model(rows, Algorithm(level_limit=4, **options))

@@ -15,7 +15,9 @@ from skyloom.config import config_from_mapping
 from skyloom.functions.healpix import pixels_at
 from skyloom.operators.densmap import compact_cells
 from skyloom.sinks.fits import PIECE, dense_map, map_pieces, read_integer_table, write_integer_table
+from skyloom.runtime import shared_dir
 from skyloom.sinks.metadata import properties, votable, write_coverage_map
+from skyloom.sinks.store import Store, absolute
 from skyloom.sinks.tiles import cell_text, completeness_line, header_line, tile_path
 from skyloom.sources.catalog import expand_paths, find_hats_root, read_catalog, read_properties, resolve, roles
 
@@ -275,3 +277,64 @@ def test_properties_defaults():
 
 def _mapping():
     return {"input": {"paths": ["-"]}, "columns": {"ra": "a", "dec": "b", "score": "c"}, "algorithm": {"level_limit": 4}, "cluster": {}, "output": {"out_dir": "x", "cat_name": "y"}}
+
+
+def tree(folder):
+    """Every tile and all-sky file by name, with its contents."""
+    return {str(p.relative_to(folder)): p.read_bytes() for p in sorted(folder.rglob("*.tsv"))}
+
+
+@pytest.mark.parametrize("mode, logic, k", [("random", "local", 2.5), ("random", "global", 0.4), ("score", "local", 0.3)])
+def test_random_choices_do_not_depend_on_the_layout(spark, tmp_path, mode, logic, k):
+    rows = catalogue(1500, 3) + catalogue(20, 3)
+    trees = []
+    for parts in (2, 7):
+        path = str(tmp_path / f"in{parts}")
+        spark.createDataFrame(random.Random(parts).sample(rows, len(rows)), SCHEMA).repartition(parts).write.parquet(path)
+        out = tmp_path / f"out{parts}"
+        skyloom.run(spark, config(path, out, fractional_mode=mode, fractional_mode_logic=logic, k_per_cov_initial=k, density_mode="constant"))
+        trees.append(tree(out))
+    assert trees[0] and trees[0] == trees[1]
+
+
+def test_a_run_on_uris(spark, source, hats, tmp_path):
+    plain = skyloom.run(spark, config(source, tmp_path / "plain"))
+    there = skyloom.run(spark, config(f"file://{source}", f"file://{tmp_path}/there"))
+    assert plain == there and tree(tmp_path / "plain") == tree(tmp_path / "there")
+    names = lambda p: sorted(str(x.relative_to(p)) for x in p.rglob("*") if x.is_file())
+    assert names(tmp_path / "plain") == names(tmp_path / "there")
+    root, n = hats
+    assert read_catalog(spark, config(f"file://{root}", fmt="hats")).count() == n
+    assert find_hats_root(f"file://{root}/catalog/dataset", spark) == f"file:{root}/catalog"
+    assert find_hats_root(f"file://{tmp_path}", spark) is None
+    with pytest.raises(ValueError):
+        skyloom.run(spark, config(source, "unknown9://bucket/x"))
+    with pytest.raises(FileNotFoundError):
+        read_catalog(spark, config(f"file://{tmp_path}/none*"))
+
+
+def test_stores(tmp_path):
+    assert absolute("s3a://bucket/x") == "s3://bucket/x" and absolute("out") == str(Path("out").resolve())
+    store = Store(str(tmp_path / "s"))
+    store.append_text("log", "a\n")
+    store.append_text("log", "b\n")
+    assert store.read("log") == b"a\nb\n" and store.read("none") is None
+    with pytest.raises(RuntimeError):
+        with store.open("d/x.tsv") as f:
+            f.write(b"half")
+            raise RuntimeError
+    assert list((tmp_path / "s/d").iterdir()) == []
+
+
+def test_scratch_tables_are_deleted(spark, source, tmp_path):
+    where = Path(shared_dir(spark).removeprefix("file://")) / "skyloom-tables"
+    before = set(where.iterdir()) if where.exists() else set()
+    skyloom.run(spark, config(source, tmp_path / "h", fractional_mode_logic="global", k_per_cov_initial=1.5))
+    assert set(where.iterdir()) == before
+
+
+def test_text_types(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b,c,d,e\n1,true,007x,2020-01-01,\n2.5e3,False,x,2020-01-02,\n,,1d,,\nNaN,TRUE,5,,\n")
+    df = read_catalog(spark, config(str(tmp_path / "t.csv"), fmt="csv"))
+    assert [f.dataType.simpleString() for f in df.schema] == ["double", "boolean", "string", "string", "string"]
+    assert df.select("b", "c", "d").collect()[1:3] == [(False, "x", "2020-01-02"), (None, "1d", None)]
