@@ -60,15 +60,25 @@ cut AS (SELECT 0 AS i, {_LOW}::DOUBLE AS edge UNION ALL SELECT 5, {_HIGH}::DOUBL
 )
 
 
-_SHIFT = 12345 * 2246822519 % 4294967296
+def philox(key: int, table: str, counter: str, tag: str) -> str:
+    """CTEs ending in ``tag(c, u)``: the Philox 2x32-10 number in [0, 1) of each different counter of ``table``, in 128-bit integers."""
+    steps = [f"{tag}0 AS (SELECT DISTINCT {counter} AS c, CAST({counter} AS HUGEINT) & 4294967295 AS a, (CAST({counter} AS HUGEINT) >> 32) & 4294967295 AS b FROM {table})"]
+    for i in range(10):
+        steps.append(f"{tag}{i + 1} AS (SELECT c, xor(xor((a * 3528905107) >> 32, b), CAST({key} AS HUGEINT)) AS a, (a * 3528905107) & 4294967295 AS b FROM {tag}{i})")
+        key = (key + 2654435769) % 4294967296
+    return ", ".join(steps) + f", {tag} AS (SELECT c, CAST(a AS DOUBLE) / 4294967296.0::DOUBLE AS u FROM {tag}10)"
+
+
+def _depth_key(seed: int, depth: int) -> int:
+    return (seed + depth * 2246822519) % 4294967296
 
 
 def _fraction(k: float, random: bool) -> str:
     order = "u, score, ra, dec, id" if random else "score, ra, dec, id"
-    draw = "((({} %% 2147483648) * 2654435761 + %d) %% 4294967296) / 4294967296.0::DOUBLE" % _SHIFT
     return (
         _RANKED
-        + f""", t AS (SELECT *, {draw.format("id")} AS u, {draw.format("cell")} AS uc FROM k WHERE rank <= ceil({k})),
+        + f""", t0 AS (SELECT * FROM k WHERE rank <= ceil({k})), {philox(12345, "t0", "id", "ru")}, {philox(12345, "t0", "cell", "cu")},
+t AS (SELECT t0.*, ru.u AS u, cu.u AS uc FROM t0 JOIN ru ON t0.id = ru.c JOIN cu ON t0.cell = cu.c),
 a AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY {order}) AS at_, count(*) OVER (PARTITION BY cell) AS n FROM t)
 SELECT id, cell AS __icov__ FROM a
 WHERE at_ <= floor(least({k}::DOUBLE, n)) + CASE WHEN uc < least({k}::DOUBLE, n) - floor(least({k}::DOUBLE, n)) THEN 1 ELSE 0 END"""
@@ -79,13 +89,55 @@ def _fraction_all(k: float, random: bool) -> str:
     order = "u, score, ra, dec, id" if random else "score, ra, dec, id"
     return (
         _RANKED
-        + f""", t AS (SELECT *, (((id % 2147483648) * 2654435761 + {_SHIFT}) % 4294967296) / 4294967296.0::DOUBLE AS u FROM k WHERE rank <= ceil({k})),
+        + f""", t0 AS (SELECT * FROM k WHERE rank <= ceil({k})), {philox(12345, "t0", "id", "ru")},
+t AS (SELECT t0.*, ru.u AS u FROM t0 JOIN ru ON t0.id = ru.c),
 n AS (SELECT CAST(round_even({k} * count(DISTINCT cell), 0) AS BIGINT) AS n FROM t),
 a AS (SELECT *, row_number() OVER (ORDER BY {order}) AS at_ FROM t)
 SELECT id, cell AS __icov__ FROM a, n WHERE at_ <= n.n"""
     )
 
 
+def _depths(wanted: str, levels: int = 4, descending: bool = False, overall: bool = False) -> str:
+    """The loop over depths, one after the other, on dp1_objects: ``wanted`` is k at depth {d} with {n} cells left; rows tied with a cut are lost.
+
+    ``overall``: of the cells' ceil(k) best rows the round_even(k * cells) best of all.
+    """
+    by = f"s {'DESC' if descending else ''} NULLS LAST, coord_ra NULLS LAST, coord_dec NULLS LAST, record_id"
+    cut, worse = ("min(s)", "r.s < c.cut") if descending else ("max(s)", "r.s > c.cut")
+    steps = [f"r0 AS (SELECT record_id, __icov__ AS cell, coord_ra, coord_dec, {_FINITE} AS s FROM dp1_objects WHERE __icov__ IS NOT NULL)"]
+    for d in range(1, levels + 1):
+        k = wanted.format(d=d, n=f"(SELECT count(DISTINCT cell) FROM r{d - 1})")
+        steps.append(f"k{d} AS (SELECT ({k})::DOUBLE AS k)")
+        best = f"q{d} AS (SELECT r{d - 1}.* FROM r{d - 1}, k{d} QUALIFY row_number() OVER (PARTITION BY cell ORDER BY {by}) <= greatest(1, ceil(k)))"
+        steps.append(best)
+        if overall:
+            steps.append(f"p{d} AS (SELECT * FROM q{d} QUALIFY row_number() OVER (ORDER BY {by}) <= (SELECT round_even((SELECT k FROM k{d}) * count(DISTINCT cell), 0) FROM q{d}))")
+        else:
+            steps.append(f"p{d} AS (SELECT * FROM q{d})")
+        steps.append(f"c{d} AS (SELECT cell, {cut} AS cut FROM p{d} GROUP BY cell)")
+        steps.append(f"r{d} AS (SELECT r.* FROM r{d - 1} r LEFT JOIN c{d} c ON r.cell = c.cell WHERE c.cell IS NULL OR (c.cut IS NOT NULL AND (r.s IS NULL OR {worse})))")
+    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT record_id, CAST({d} AS INTEGER) AS depth FROM p{d}" for d in range(1, levels + 1))
+
+
+def _depths_kept(sums: tuple[int, ...]) -> str:
+    case = " ".join(f"WHEN rank <= {n} THEN {d}" for d, n in enumerate(sums, 1))
+    return f"""
+WITH r AS (SELECT record_id, row_number() OVER (PARTITION BY __icov__ ORDER BY {_FINITE} NULLS LAST, coord_ra NULLS LAST, coord_dec NULLS LAST, record_id) AS rank
+           FROM dp1_objects WHERE __icov__ IS NOT NULL)
+SELECT record_id, CAST(CASE {case} END AS INTEGER) AS depth FROM r WHERE rank <= {sums[-1]}"""
+
+
+def _half_a_row(levels: int = 4) -> str:
+    """k = 0.5, every row not chosen stays: a cell's next best row comes at each depth whose draw is below one half."""
+    draws = ", ".join(philox(_depth_key(12345, d), "r", "cell", f"u{d}_") for d in range(1, levels + 1))
+    hit = " UNION ALL ".join(f"SELECT c AS cell, {d} AS depth FROM u{d}_ WHERE u < 0.5" for d in range(1, levels + 1))
+    return f"""
+WITH r AS (SELECT record_id, __icov__ AS cell, row_number() OVER (PARTITION BY __icov__ ORDER BY {_FINITE} NULLS LAST, coord_ra NULLS LAST, coord_dec NULLS LAST, record_id) AS rank
+           FROM dp1_objects WHERE __icov__ IS NOT NULL), {draws},
+h AS (SELECT cell, depth, row_number() OVER (PARTITION BY cell ORDER BY depth) AS turn FROM ({hit}))
+SELECT r.record_id, CAST(h.depth AS INTEGER) AS depth FROM r JOIN h ON r.cell = h.cell AND r.rank = h.turn"""
+
+
 _WHOLE = (
     _RANKED
     + """, w AS (SELECT *, CASE WHEN rank <= 1 THEN 1 WHEN rank <= 3 THEN 2 WHEN rank <= 7 THEN 3 WHEN rank <= 15 THEN 4 ELSE 5 END AS depth FROM k WHERE rank <= 31),
@@ -184,4 +236,17 @@ SELECT CAST(wr.depth AS INTEGER) AS depth, wr.ipix, wr.n_written, m.n AS n_src,
         + [f"SELECT '{c}', 'boolean', count(*) FILTER ({c} IS NULL), NULL, NULL, NULL, count({c}) > 0 FROM dp1_objects" for c in _FLAGS]
         + [f"SELECT '{c}', 'timestamp', count(*) FILTER ({c} IS NULL), NULL, NULL, NULL, count({c}) > 0 FROM dp1_objects" for c in _TIMES]
     ),
+    "hierarchy_ties_reference": _depths("pow(2, {d} - 1)"),
+    "hierarchy_ties_descending": _depths("{d}", descending=True),
+    "hierarchy_ties_keep": _depths_kept((1, 3, 8, 16)),
+    "hierarchy_fraction_local": _half_a_row(),
+    "hierarchy_fraction_global": _depths("1.4", overall=True),
+    "hierarchy_total_profile": _depths("3000.0::DOUBLE * {d} / {n}", overall=True),
+    "hierarchy_total_caps": _depths("least(pow(2, {d} - 1), CASE {d} WHEN 2 THEN 500.0::DOUBLE / {n} WHEN 4 THEN 700.0::DOUBLE / {n} ELSE 1e9 END)", overall=True),
+    "hats_index_pixels": placed("o_orderkey AS id", "orders", "o_orderkey", 11) + " SELECT id, pix >> 20 AS ipix1, pix >> 12 AS ipix5, pix >> 4 AS ipix9 FROM p",
+    "scan_csv": "SELECT s_suppkey::DOUBLE AS s_suppkey, s_name, s_nationkey::DOUBLE AS s_nationkey, s_acctbal FROM supplier",
+    "scan_tsv": "SELECT s_suppkey::DOUBLE AS s_suppkey, s_name, s_nationkey::DOUBLE AS s_nationkey, s_acctbal FROM supplier",
+    "scan_headerless": "SELECT s_suppkey::DOUBLE AS s_suppkey, s_name, s_nationkey::DOUBLE AS s_nationkey, s_acctbal FROM supplier",
+    "scan_hats": "SELECT record_id, norder, npix FROM dp1_objects",
 }
+SQL["moc_numbers"] = f"SELECT (CAST(4 AS BIGINT) << (2 * depth)) + ipix AS uniq FROM ({SQL['moc_compacted']})"

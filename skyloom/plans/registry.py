@@ -21,9 +21,9 @@ from skyloom.operators.clean import needs_ra_shift, position_extrema, shifted_ra
 from skyloom.operators.densmap import compact_cells, coverage_cells, density_maps, density_stats
 from skyloom.operators.report import column_report
 from skyloom.plans.pipeline import hats_ordinals
-from skyloom.runtime import materialize
+from skyloom.runtime import bounded, materialize, scratch_path
 from skyloom.sinks.tiles import ALLSKY_ORDERS, clean_text, tile_path_column
-from skyloom.sources.catalog import roles
+from skyloom.sources.catalog import hats_index_order, read_catalog, read_hats, roles
 
 DEEPEST, CELL_ORDER, LEVELS = 8, 3, 5
 TIES = ("ra", "dec", "id")
@@ -236,6 +236,91 @@ def frac_random_global(spark, d):
     return _fractional(spark, d, "random", "global")
 
 
+def _dirty(spark, d) -> DataFrame:
+    """dp1_objects with its cells and its score: ties, missing and infinite scores, missing positions, rows without a cell."""
+    score = finite_or_null(F.col("i_cmodelmag_dered"))
+    return _read(spark, d, "dp1_objects").select("record_id", "coord_ra", "coord_dec", cv.CELL, score.alias(cv.SCORE))
+
+
+def _dirty_hierarchy(spark, d, **algorithm) -> DataFrame:
+    a = replace(Algorithm(level_limit=4), **algorithm)
+    chosen = cv.select_hierarchy(_dirty(spark, d), cv.Selection(a, ("coord_ra", "coord_dec", "record_id"), "record_id", None))
+    return chosen.select("record_id", "depth")
+
+
+def hierarchy_ties_reference(spark, d):
+    """The default: rows tied with a cut are lost, rows with missing scores may come again."""
+    return _dirty_hierarchy(spark, d)
+
+
+def hierarchy_ties_descending(spark, d):
+    return _dirty_hierarchy(spark, d, order_desc=True, density_mode="linear")
+
+
+def hierarchy_ties_keep(spark, d):
+    return _dirty_hierarchy(spark, d, tie_policy="keep", k_per_cov_per_level={3: 5.0})
+
+
+def hierarchy_fraction_local(spark, d):
+    """Half a row a cell and depth, drawn afresh at each depth."""
+    return _dirty_hierarchy(spark, d, tie_policy="keep", density_mode="constant", k_per_cov_initial=0.5, fractional_mode_logic="local", seed=SEED)
+
+
+def hierarchy_fraction_global(spark, d):
+    """A fraction settled over all cells, depth by depth."""
+    return _dirty_hierarchy(spark, d, density_mode="constant", k_per_cov_initial=1.4, fractional_mode_logic="global")
+
+
+def hierarchy_total_profile(spark, d):
+    """Totals shared out among the cells that are left."""
+    return _dirty_hierarchy(spark, d, density_mode="linear", targets_total_initial=3000.0, fractional_mode_logic="global")
+
+
+def hierarchy_total_caps(spark, d):
+    return _dirty_hierarchy(spark, d, targets_total_per_level={2: 500, 4: 700}, fractional_mode_logic="global")
+
+
+def hats_index_pixels(spark, d):
+    """Upper orders from a HATS index by shifting, without positions."""
+    indexed = orders_sky(spark, d, 11).withColumnRenamed("deep", "_healpix_11")
+    name, order = hats_index_order(indexed)
+    return indexed.select("id", *[parent(F.col(name), order - o).alias(f"ipix{o}") for o in (1, 5, 9)])
+
+
+def moc_numbers(spark, d):
+    """The numbers the coverage map's file holds."""
+    return moc_compacted(spark, d).selectExpr("shiftleft(4L, 2 * depth) + ipix AS uniq")
+
+
+def _text_round(spark, d, kind: str, header: bool) -> DataFrame:
+    """supplier written as text files and read back as a catalogue."""
+    path = scratch_path(spark)
+    table = _read(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    table.write.option("sep", "\t" if kind == "tsv" else ",").option("header", header).csv(path)
+    given = {"input": {"paths": [path if "://" in path else "file://" + path], "format": kind, "header": header}, "columns": {"ra": "-", "dec": "-", "score": "-"}, "algorithm": {"level_limit": LEVELS}, "cluster": {}, "output": {"out_dir": "-", "cat_name": "-"}}
+    return read_catalog(spark, config_from_mapping(given)).toDF(*table.columns)
+
+
+def scan_csv(spark, d):
+    return _text_round(spark, d, "csv", True)
+
+
+def scan_tsv(spark, d):
+    return _text_round(spark, d, "tsv", True)
+
+
+def scan_headerless(spark, d):
+    return _text_round(spark, d, "csv", False)
+
+
+def scan_hats(spark, d):
+    """A HATS folder written from dp1_objects' partitions and read back."""
+    path = scratch_path(spark)
+    table = _read(spark, d, "dp1_objects").select("record_id", F.col("norder").alias("Norder"), F.lit(0).alias("Dir"), F.col("npix").alias("Npix"))
+    table.repartition("Norder", "Npix").write.partitionBy("Norder", "Dir", "Npix").parquet(f"{path}/dataset")
+    return read_hats(spark, path).select("record_id", F.col("Norder").alias("norder"), F.col("Npix").alias("npix"))
+
+
 def _hierarchy(spark, d, rows: DataFrame, **algorithm) -> DataFrame:
     a = replace(Algorithm(level_limit=LEVELS, level_coverage=CELL_ORDER, coverage_order=CELL_ORDER), **algorithm)
     chosen = cv.select_hierarchy(rows, cv.Selection(a, TIES, "id", _density(spark, d)))
@@ -258,8 +343,8 @@ def coverage_hierarchy_loop(spark, d):
 
 def hats_partition_coverage(spark, d):
     o = _read(spark, d, "dp1_objects").select("record_id", "coord_ra", "coord_dec", "norder", "npix", finite_or_null(F.col("i_cmodelmag_dered")).alias(cv.SCORE))
-    ordinals = hats_ordinals(_read(spark, d, "partition_info"), "norder", "npix")
-    cells = o.join(F.broadcast(ordinals), ["norder", "npix"]).withColumnRenamed("ordinal", cv.CELL)
+    ordinals = materialize(hats_ordinals(_read(spark, d, "partition_info"), "norder", "npix"))
+    cells = o.join(bounded(ordinals, ordinals.count()), ["norder", "npix"]).withColumnRenamed("ordinal", cv.CELL)
     return cv.top_k(cells, 2, cv.best_first(("coord_ra", "coord_dec", "record_id"), False)).select("record_id", F.col(cv.CELL).alias("ordinal"))
 
 
@@ -343,5 +428,18 @@ QUERIES = {
         tile_paths,
         column_reports,
         column_reports_whole,
+        hierarchy_ties_reference,
+        hierarchy_ties_descending,
+        hierarchy_ties_keep,
+        hierarchy_fraction_local,
+        hierarchy_fraction_global,
+        hierarchy_total_profile,
+        hierarchy_total_caps,
+        hats_index_pixels,
+        moc_numbers,
+        scan_csv,
+        scan_tsv,
+        scan_headerless,
+        scan_hats,
     )
 }

@@ -71,6 +71,7 @@ class Store:
 
     def append_text(self, name: str, text: str) -> None:
         """Add to a file; where a store cannot, it is written anew."""
+        self.make_folder(name.rpartition("/")[0])
         try:
             with self.fs.open_append_stream(self.path(name)) as f:
                 f.write(text.encode())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from pathlib import Path
@@ -22,7 +23,8 @@ MARKERS = ("collection.properties", "hats.properties", "properties")
 
 
 def is_uri(path: str) -> bool:
-    return "://" in path
+    """Whether a scheme comes first; Hadoop writes file:/x for file:///x."""
+    return re.match(r"[A-Za-z][\w+.-]+:/", path) is not None
 
 
 class Folder:
