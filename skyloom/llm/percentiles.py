@@ -37,6 +37,12 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
+def _met(data: DataFrame, spans: list[tuple[float, float]]) -> DataFrame:
+    """Values with each span holding them, without groups: at most one span a probability, so literals do."""
+    own = [F.when(F.col("x").between(lo, hi), F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))) for lo, hi in spans]
+    return data.withColumn("_s", F.explode(F.array(*own))).where(F.col("_s").isNotNull()).select("x", "_s.lo", "_s.hi")
+
+
 def percentiles(rows: DataFrame, groups: Sequence[str], value: str, probabilities: Sequence[float], tolerance: float = 0.0) -> DataFrame:
     """One row per group and probability: (groups..., probability, n, value).
 
@@ -64,13 +70,12 @@ def percentiles(rows: DataFrame, groups: Sequence[str], value: str, probabilitie
         if not left:
             break
         spans = active.select(*[F.col(n).alias(f"_{n}") for n in names], "lo", "hi").distinct()
-        inside = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
-        match = inside
+        match = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
         for n in names:
             match &= _same(n, f"_{n}")
         half = F.col("hi") / 2 - F.col("lo") / 2
         step = F.when(half > 0, F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor((F.col("x") / 2 - F.col("lo") / 2) / F.when(half > 0, half) * parts)))).otherwise(F.when(F.col("x") > F.col("lo"), parts - 1).otherwise(0)).cast("int")
-        met = data.join(bounded(spans, left), match) if names else data.join(F.broadcast(spans), inside)
+        met = data.join(bounded(spans, left), match) if names else _met(data, [(r.lo, r.hi) for r in spans.collect()])
         counted = met.groupBy(*names, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), step.alias("part")).agg(F.count("x").alias("c"), F.min("x").alias("least"), F.max("x").alias("most"))
         upto = F.sum("c").over(Window.partitionBy(*names, "_lo", "_hi").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
         ladder_ = counted.withColumn("upto", upto).select(*[F.col(n).alias(f"_{n}") for n in names], "_lo", "_hi", "c", "least", "most", "upto")

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from skyloom.functions.numeric import finite_or_null
 from skyloom.llm.cutoff import fraction_cutoffs, keep_fraction
 from skyloom.llm.leaks import leaked_items
-from skyloom.llm.packing import pack, packing_report, token_counts
+from skyloom.llm.packing import pack, packing_certificates, packing_checks, packing_report, token_counts
 from skyloom.llm.percentiles import add_up, from_ladder, ladder, magnitude, percentiles
 from skyloom.llm.sample import register, sampled
-from skyloom.llm.stuffing import stuffed_pages
+from skyloom.llm.stuffing import fitted, stuffed_pages
 from skyloom.llm.topn import top_n
-from skyloom.runtime import materialize, scratch_path
+from skyloom.runtime import bounded, materialize, scratch_path
 
 SCORE, CELL = "i_cmodelmag_dered", "__icov__"
 
@@ -102,6 +102,45 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing_report(materialize(p7_containers(spark, d)))
 
 
+def p7_certificates(spark: SparkSession, d: str) -> DataFrame:
+    return packing_certificates(materialize(p7_containers(spark, d)))
+
+
+def p7_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every page is placed whole, cut only if it must be, in containers that hold it."""
+    sizes = materialize(token_counts(_read(spark, d, "documents")))
+    return packing_checks(materialize(pack(sizes)), sizes)
+
+
+_PLAIN_WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+', 0)"
+
+
+def p8_exact_found(spark: SparkSession, d: str) -> DataFrame:
+    """Of the leaked pairs those whose page quotes 15 words exactly: all that plain 15-word shingles find must be among the leaks."""
+    pages, items = _read(spark, d, "documents"), _read(spark, d, "eval_items")
+    leaks = materialize(leaked_items(pages, items).select("doc_id", "item_id").distinct())
+    rest = F.regexp_replace(F.trim("text"), r"^[^\n]*?(?:[.!?:][ \t]|\n)", "")
+    heads = items.withColumn("rest", rest).withColumn("head", F.expr("substring(trim(text), 1, length(trim(text)) - length(rest))"))
+    shared = heads.where("head <> ''").groupBy("head").agg(F.countDistinct("text").alias("n")).where("n >= 3").select(F.col("head").alias("_head"))
+    body = heads.join(shared, F.col("head") == F.col("_head"), "left").select("item_id", F.when(F.col("_head").isNotNull(), F.col("rest")).otherwise(F.col("text")).alias("text"))
+
+    def shingles(rows: DataFrame, key: str) -> DataFrame:
+        words = rows.select(key, F.expr(_PLAIN_WORDS.format("text")).alias("w")).where("size(w) >= 15")
+        at = words.select(key, "w", F.explode(F.expr("sequence(1, size(w) - 14)")).alias("i"))
+        return at.select(key, F.expr("xxhash64(array_join(slice(w, i, 15), ' '))").alias("s"))
+
+    wanted = materialize(shingles(body, "item_id").distinct())
+    quoted = shingles(pages, "doc_id").join(bounded(wanted, wanted.count()), "s").select("doc_id", "item_id").distinct()
+    return quoted.join(leaks, ["doc_id", "item_id"])
+
+
+def p9_rank_curves(spark: SparkSession, d: str) -> DataFrame:
+    """The curve fit by itself, on plain words: slope and residual of every page."""
+    words = _read(spark, d, "documents").select("doc_id", F.explode(F.expr(_PLAIN_WORDS.format("text"))).alias("w"))
+    points = words.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("f")).groupBy("doc_id", "f").agg(F.count(F.lit(1)).alias("n"))
+    return fitted(points, ["doc_id"]).select("doc_id", F.round("slope", 6).alias("slope"), F.round("residual", 6).alias("residual"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -116,7 +155,11 @@ QUERIES = {
         p6_nights_combined,
         p7_containers,
         p7_report,
+        p7_certificates,
+        p7_checked,
         p8_found,
+        p8_exact_found,
         p9_found,
+        p9_rank_curves,
     )
 }

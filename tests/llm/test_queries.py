@@ -15,7 +15,7 @@ def test_query_equals_its_sql(spark, name):
     assert spark_rows(QUERIES[name](spark, FOLDER)) == sql_rows(connection(FOLDER), SQL[name])
 
 
-@pytest.mark.parametrize("name, columns", [("p7_containers", ["doc_id", "piece", "start", "tokens", "container"]), ("p7_report", None), ("p8_found", ["doc_id", "item_id"]), ("p9_found", ["doc_id"])])
+@pytest.mark.parametrize("name, columns", [("p7_containers", ["doc_id", "piece", "start", "tokens", "container"]), ("p7_report", None), ("p7_certificates", None), ("p8_found", ["doc_id", "item_id"]), ("p9_found", ["doc_id"])])
 def test_queries_without_sql(spark, name, columns):
     df = QUERIES[name](spark, FOLDER)
     assert columns is None or df.columns == columns

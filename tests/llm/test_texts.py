@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyloom.llm import leaks as lk
 from skyloom.llm.leaks import Items, _prepared, leaked_items, search_pages, without_first_sentence
 from skyloom.llm.letters import reading_order, to_letters
-from skyloom.llm.packing import _packed, best_fit_decreasing, bound_sums, lower_bound, pack, packing_report, token_counts
+from skyloom.llm.packing import _packed, best_fit_decreasing, bound_sums, lower_bound, pack, packing_certificates, packing_checks, packing_report, token_counts
 from skyloom.llm.stuffing import flagged, page_curves, stuffed_pages
 from skyloom.llm.wordstream import ADDRESS, NUMBER, TAG, to_words
 from skyloom.llm.wumanber import WINDOW, WuManber
@@ -442,3 +442,24 @@ def test_thousands_of_items(spark):
     docs = [(k, around(its[k * 1000][1])) for k in range(25)]
     found = leaks(spark, docs, its)
     assert set(found) >= {(k, k * 1000) for k in range(25)}
+
+
+def test_certificates_and_checks(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([0, None, 700, 2048, 2049, 5000, rng.randint(1, 1500)])) for i in range(300)] + [(7, 300), (7, 4100), (None, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens long")
+    out = spark.createDataFrame(pack(df, 2048).collect(), "doc_id long, piece long, start long, tokens long, container long")
+    certs = packing_certificates(out).collect()
+    assert sum(r["containers"] for r in certs) == packing_report(out).first()["n_containers"]
+    assert all(r["bound"] <= r["containers"] and r["certified"] == (r["bound"] == r["containers"]) for r in certs)
+    good = packing_checks(out, df).collect()
+    assert len(good) == 301 and all(r["complete"] and r["cut_rightly"] and r["fits"] for r in good)
+    wrong = lambda changed: {r["doc_id"]: (r["complete"], r["cut_rightly"], r["fits"]) for r in packing_checks(changed, df).collect()}
+    size = dict(rows[:300])
+    small, big = next(i for i in range(10, 300) if size[i] == 700), next(i for i in range(10, 300) if size[i] == 5000)
+    assert wrong(out.where(F.col("doc_id").isNull() | (F.col("doc_id") != small)))[small] == (False, False, False)  # lost
+    assert wrong(out.union(out.where(F.col("doc_id") == small)))[small][0] is False  # twice
+    assert wrong(out.where(~((F.col("doc_id") == big) & (F.col("piece") == 1))))[big][:2] == (False, False)
+    full = out.withColumn("container", F.when(F.col("container").isNotNull(), 1))
+    assert wrong(full)[small] == (True, True, False)  # all in one
+    assert packing_checks(out.limit(0), df.limit(0)).count() == 0 and packing_certificates(out.limit(0)).count() == 0
