@@ -15,7 +15,7 @@ ROWS_A_PART = 10_000
 def column_report(df: DataFrame) -> DataFrame:
     """One row a column: column, type, n_null (NaN counts as missing), min, max, mean (numbers only), example (others: a value present).
 
-    One aggregation over all columns at once.
+    Infinities of both signs have no mean: it is NULL. One aggregation over all columns at once.
     """
     numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
     aggs, stacked = [], []
@@ -23,7 +23,7 @@ def column_report(df: DataFrame) -> DataFrame:
         c = column(f.name)
         if f.name in numeric:
             x = nan_to_null(c.cast("double"))
-            aggs += [F.count(x), F.min(x), F.max(x), F.avg(x)]
+            aggs += [F.count(x), F.min(x), F.max(x), nan_to_null(F.avg(x))]
         else:
             shown = F.to_json(c) if isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType) else c.cast("string")
             aggs += [F.count(c), F.lit(None), F.lit(None), F.first(shown, ignorenulls=True)]

@@ -231,7 +231,7 @@ SELECT CAST(wr.depth AS INTEGER) AS depth, wr.ipix, wr.n_written, m.n AS n_src,
         + [f"SELECT '{c}', count(*) FILTER ({c} IS NULL), min({c})::DOUBLE, max({c})::DOUBLE FROM dp1_objects" for c in _INTEGERS]
     ),
     "column_reports_whole": " UNION ALL ".join(
-        [f"SELECT '{c}' AS \"column\", 'double' AS type, count(*) FILTER ({c} IS NULL OR isnan({c})) AS n_null, min({c}) FILTER (NOT isnan({c})) AS min, max({c}) FILTER (NOT isnan({c})) AS max, format('{{:.9e}}', avg({c}) FILTER (NOT isnan({c})))::DOUBLE AS mean, false AS shown FROM dp1_objects" for c in _NUMBERS]
+        [f"SELECT '{c}' AS \"column\", 'double' AS type, count(*) FILTER ({c} IS NULL OR isnan({c})) AS n_null, min({c}) FILTER (NOT isnan({c})) AS min, max({c}) FILTER (NOT isnan({c})) AS max, CASE WHEN NOT (count(*) FILTER ({c} = 'inf'::DOUBLE) > 0 AND count(*) FILTER ({c} = '-inf'::DOUBLE) > 0) THEN format('{{:.9e}}', avg({c}) FILTER (NOT isnan({c})))::DOUBLE END AS mean, false AS shown FROM dp1_objects" for c in _NUMBERS]
         + [f"SELECT '{c}', '{'int' if c in ('norder', 'ingest_batch') else 'bigint'}', count(*) FILTER ({c} IS NULL), min({c})::DOUBLE, max({c})::DOUBLE, format('{{:.9e}}', avg({c}::DOUBLE))::DOUBLE, false FROM dp1_objects" for c in _INTEGERS]
         + [f"SELECT '{c}', 'boolean', count(*) FILTER ({c} IS NULL), NULL, NULL, NULL, count({c}) > 0 FROM dp1_objects" for c in _FLAGS]
         + [f"SELECT '{c}', 'timestamp', count(*) FILTER ({c} IS NULL), NULL, NULL, NULL, count({c}) > 0 FROM dp1_objects" for c in _TIMES]

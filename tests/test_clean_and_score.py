@@ -77,3 +77,8 @@ def test_whole_report_covers_every_column(spark):
     got = {r["column"]: r for r in column_reports_whole(spark, folder).collect()}
     assert sorted(got) == sorted(names)
     assert {c for c in got if got[c]["shown"]} == {c for c in got if got[c]["type"] in ("boolean", "timestamp")}
+
+
+def test_no_mean_of_both_infinities(spark):
+    df = spark.createDataFrame([(float("inf"), float("inf")), (float("-inf"), 1.0), (1.0, float("nan"))], "a double, b double")
+    assert [r["mean"] for r in column_report(df).collect()] == [None, float("inf")]
