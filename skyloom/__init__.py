@@ -25,6 +25,20 @@ def run_pipeline(config):
     from skyloom.runtime import build_session
 
     c = config.cluster
-    master = None if c.mode == "slurm" else f"local[{c.n_workers * c.threads_per_worker}]"
     memory = c.memory_per_worker.lower().removesuffix("b")
-    return run(build_session(config.output.cat_name, master, **{"spark.executor.memory": memory}), config)
+    if c.mode == "slurm":
+        return run(build_session(config.output.cat_name, None, **{"spark.executor.memory": memory, **session_settings(c)}), config)
+    # one process holds all workers of a local session
+    megabytes = c.n_workers * in_megabytes(memory)
+    return run(build_session(config.output.cat_name, f"local[{c.n_workers * c.threads_per_worker}]", **{"spark.driver.memory": f"{megabytes}m"}), config)
+
+
+def session_settings(cluster) -> dict[str, str]:
+    """Session settings of the slurm section: its entries named spark.*; all else is for whoever submits the job."""
+    return {k: str(v) for k, v in (cluster.slurm or {}).items() if k.startswith("spark.")}
+
+
+def in_megabytes(memory: str) -> int:
+    """"2g", "512m" or "1t" in megabytes; a bare number counts bytes."""
+    factor = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}.get(memory[-1])
+    return max(1, round(float(memory[:-1]) * factor if factor else float(memory) / (1 << 20)))

@@ -74,7 +74,7 @@ class Cluster:
     n_workers: int = option("workers", 3)
     threads_per_worker: int = option("threads of a worker", 1)
     memory_per_worker: str = option("memory of a worker", "2GB")
-    slurm: Mapping[str, Any] | None = option("further settings, kept for reference", None)
+    slurm: Mapping[str, Any] | None = option("further settings: those named spark.* are set in the session", None)
     persist_ddfs: bool = option("keep the prepared rows in memory and on disk", False)
     avoid_computes_wherever_possible: bool = option("accepted and without effect: plans are lazy anyway", True)
     diagnostics_mode: str = option("per_step, global or off: labels on Spark's jobs", "global")

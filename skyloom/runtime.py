@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ BROADCAST_ROWS = 200_000
 GROUP_LIMITS = {"spark.sql.optimizer.windowGroupLimitThreshold": "10000"}
 
 _scratch: list[tuple[SparkSession, str]] = []
-_shipped: set[str] = set()
+_shipped: set[str | tuple[str, str]] = set()
 
 
 def build_session(app: str = "skyloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -124,6 +126,15 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(str(archive))
 
 
+def ship_file(spark: SparkSession, path: str) -> Callable[[], str]:
+    """Let Python workers read a file of the driver (or of any store Spark reads) wherever they run; what is returned tells a worker its path."""
+    context, name = spark.sparkContext, path.rstrip("/").rpartition("/")[2]
+    if (context.applicationId, path) not in _shipped:
+        _shipped.add((context.applicationId, path))
+        context.addFile(path)
+    return functools.partial(SparkFiles.get, name)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least one partition a core, for work that is heavy per row; inputs of enough files stay as they are, unshuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -87,3 +87,12 @@ def test_yaml_and_help(tmp_path):
     assert load_config(str(p)).algorithm.selection_mode == "mag_global"
     text = describe_options()
     assert "level_limit" in text and "required" in text and "mag_hist_nbins" in text
+
+
+def test_cluster_settings():
+    from skyloom import in_megabytes, session_settings
+    from skyloom.config import Cluster
+
+    assert [in_megabytes(m) for m in ("2g", "512m", "1t", "1048576", "1.5g")] == [2048, 512, 1048576, 1, 1536]
+    assert session_settings(Cluster(slurm={"spark.executor.cores": 4, "queue": "x"})) == {"spark.executor.cores": "4"}
+    assert session_settings(Cluster()) == {}
