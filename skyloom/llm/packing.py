@@ -13,7 +13,7 @@ import base64
 import bisect
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.numeric import column
-from skyloom.runtime import materialize, ship_package, spread
+from skyloom.runtime import materialize, ship_file, ship_package, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that splits text before the merges of the rank file.
@@ -42,9 +42,9 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _counter(path: str):
+def _counter(where: Callable[[], str]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(path).encode_ordinary
+        encode = _encoding(where()).encode_ordinary
         for batch in batches:
             sizes = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64())], names=["doc_id", "tokens"])
@@ -53,10 +53,10 @@ def _counter(path: str):
 
 
 def token_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, tokens) of every row; NULL and empty texts have 0 tokens."""
+    """(doc_id, tokens) of every row; NULL and empty texts have 0 tokens. The ``tokenizer``'s file need only be where the driver reads it."""
     kind = documents.schema[doc_id].dataType.simpleString()
     ship_package(documents.sparkSession)
-    return spread(documents.select(column(doc_id).alias("doc_id"), column(text).alias("text"))).mapInArrow(_counter(tokenizer), f"doc_id {kind}, tokens long")
+    return spread(documents.select(column(doc_id).alias("doc_id"), column(text).alias("text"))).mapInArrow(_counter(ship_file(documents.sparkSession, tokenizer)), f"doc_id {kind}, tokens long")
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
