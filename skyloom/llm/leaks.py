@@ -382,8 +382,11 @@ def _links(looks: _Looks, edge: np.ndarray, size: np.ndarray, a: np.ndarray, b:
     following = (left[j] - right[i] <= DAMAGED) & (left[j] > left[i])
     i, j = i[following], j[following]
     missing, between = c[j] - d[i], a[j] - b[i]
-    linked = (d[j] > d[i]) & (between >= missing - LOST) & ((between <= DAMAGED + LOST) | (missing <= LOST))
-    i, j, near = i[linked], j[linked], between[linked] <= DAMAGED + LOST
+    inside = (missing > 0) & (between > 0)
+    # what lies between must be as long as what is missing, as far as _words_covered wants it
+    near = np.where(inside, (between <= DAMAGED + LOST) & (np.abs(between - missing) <= np.maximum(between, missing) * 2 // 5), between <= np.maximum(missing, 0) + LOST)
+    linked = (d[j] > d[i]) & (between >= missing - LOST) & (near | (missing <= LOST))
+    i, j, near = i[linked], j[linked], near[linked]
     near[~near] = looks.at_break(b[i[~near]]) & looks.at_break(a[j[~near]])
     return i[near], j[near]
 
