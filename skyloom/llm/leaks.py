@@ -40,9 +40,9 @@ STOCK_ITEMS = 3
 CHUNK_UNITS = 1_500_000
 #: Letters of no item between two items.
 EDGE = 64
-#: A page and an item with more pieces are compared in full at once, without looking at the pieces' links first.
-MANY_PIECES = 64
-#: Possible links between pieces looked at together.
+#: With more pieces a page and an item are looked at by themselves.
+MANY_PIECES = 32
+#: Possible links between pieces looked at together; a page and an item with more are compared letter by letter without.
 LINKS_AT_ONCE = 4_000_000
 #: Places of windows in items looked at together (or one page's, if it has more).
 PLACES_AT_ONCE = 1_500_000
@@ -342,7 +342,8 @@ def _found(looks: _Looks, start: np.ndarray, pattern: np.ndarray, min_words: int
     a, c = a + 1, c + 1
     # near an item's ends fewer alike letters are enough to go on
     d, c = np.where(end - d < 6, end, d), np.where(c - begin < 6, begin, c)
-    hopeful = _may_reach(looks, pair, a, b, c, d, min_words)
+    # places are below 2^31, as pages and items come in limited parts
+    hopeful = _may_reach(looks, pair, *(x.astype(np.int32) for x in (a, b, c, d)), min_words)
     if not len(hopeful):
         return
     pair_of = keys >> (mid + low)
@@ -377,9 +378,25 @@ def _links(looks: _Looks, edge: np.ndarray, size: np.ndarray, a: np.ndarray, b:
     wide = np.repeat(size.astype(np.int32), n)
     at = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
     first = np.repeat(edge.astype(np.int32), n)
-    i, j = first + at // wide, first + at % wide
-    left, right = c.astype(np.int32), d.astype(np.int32)
-    following = (left[j] - right[i] <= DAMAGED) & (left[j] > left[i])
+    return _linked(looks, first + at // wide, first + at % wide, a, b, c, d)
+
+
+def _links_of_many(looks: _Looks, e: int, m: int, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """_links of one pair with many pieces: those near each other on the page, and those at breaks; None if these are too many as well."""
+    own = e + np.argsort(a[e : e + m], kind="stable")
+    low = np.searchsorted(a[own], b[own] - (d[own] - c[own]) - LOST)
+    n = np.searchsorted(a[own], b[own] + DAMAGED + LOST, side="right") - low
+    ends, begins = own[looks.at_break(b[own])], own[looks.at_break(a[own])]
+    if n.sum() + len(ends) * len(begins) > LINKS_AT_ONCE:
+        return None
+    i = np.concatenate([np.repeat(own, n), np.repeat(ends, len(begins))])
+    j = np.concatenate([own[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], np.tile(begins, len(ends))])
+    return _linked(looks, i, j, a, b, c, d)
+
+
+def _linked(looks: _Looks, i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of possible links those that _words_covered may join."""
+    following = (c[j] - d[i] <= DAMAGED) & (c[j] > c[i])
     i, j = i[following], j[following]
     missing, between = c[j] - d[i], a[j] - b[i]
     inside = (missing > 0) & (between > 0)
@@ -400,9 +417,14 @@ def _may_reach(looks: _Looks, pair: np.ndarray, a: np.ndarray, b: np.ndarray, c:
     edge = np.flatnonzero(np.diff(pair, prepend=-1))
     size = np.diff(np.append(edge, len(pair)))
     done = np.logical_or.reduceat(sure, edge)
-    reached.append(pair[edge[~done & (size > MANY_PIECES)]])
     open_ = ~done & (size > 1) & (size <= MANY_PIECES)
     links = [_links(looks, e, m, a, b, c, d) for e, m in _parts(edge[open_], size[open_])]
+    for k in np.flatnonzero(~done & (size > MANY_PIECES)).tolist():
+        found = _links_of_many(looks, int(edge[k]), int(size[k]), a, b, c, d)
+        if found is None:
+            reached.append(pair[edge[k : k + 1]])
+        else:
+            links.append(found)
     i, j = (np.concatenate(x) for x in zip(*links)) if links else (edge[:0], edge[:0])
     begin = c.copy()
     while len(i):
